@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import exact_dedup, licenses, mixing, packing, secrets
+from . import exact_dedup, html_text, licenses, mixing, near_dedup, packing, pii, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(C.read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(C.read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")).drop("sentences")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(C.read(spark, sf_dir, "pages"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(C.read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("found", lambda x: x["base"])
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed("found").alias("spans"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(C.read(spark, sf_dir, "documents")).drop("places")
 
@@ -99,15 +119,31 @@ def _op9_sql() -> str:
     FROM d LEFT JOIN a USING (doc_id)"""
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.b AS component_id, d.doc_id = m.b AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_secrets": op2_secrets,
         "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_near_dedup": op5_near_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_html_text": op7_html_text,
+        "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op9_licenses": _op9_sql()}
+    return {"op2_secrets": _op2_sql(), "op4_exact_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op9_licenses": _op9_sql()}
