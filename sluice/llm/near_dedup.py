@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -211,4 +211,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the smallest id."""
+    dropped = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped_id"))
+    # null ids cannot be told apart, so they stay
+    return docs.join(dropped.where("_dropped_id is not null").distinct(), F.col(id_col) == F.col("_dropped_id"), "left_anti")
+
+
 C.ship(__name__)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import exact_dedup, html_text, licenses, mixing, near_dedup, packing, pii, secrets, toxicity
+from . import ann, exact_dedup, html_text, licenses, mixing, near_dedup, packing, pii, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(C.read(spark, sf_dir, "documents")).drop("places")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(C.read(spark, sf_dir, "embeddings"))
+
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NORM = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
 
@@ -142,6 +146,7 @@ def queries() -> dict[str, Query]:
         "op7_html_text": op7_html_text,
         "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
+        "op10_ann": op10_ann,
     }
 
 

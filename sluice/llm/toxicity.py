@@ -165,30 +165,40 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return fit_bags([(r["toxic"], r["sentences"], r["bare"]) for r in rows], words) if words else Model({}, MAX_BIAS, 0.01)
 
 
+def document_score(model: Model, found: list[tuple[int, int, set[str]]], bare: int) -> float:
+    """The leaky noisy-or of all sentences."""
+    quiet = math.log1p(-model.leak) + bare * math.log1p(-model.sentence(set()))
+    return -math.expm1(quiet + sum(math.log1p(-min(model.sentence(w), 1 - 1e-12)) for _, _, w in found))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences) of (doc_id, text); ``sentences`` are the offending
     ones as (start, end, score) in code points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = split_vocabulary(model.weights)
-        empty = math.log1p(-model.sentence(set()))
         for b in batches:
             scores, spans = [], []
             for t in b["text"]:
                 found, bare = bag(t, vocabulary)
-                quiet, bad = math.log1p(-model.leak) + bare * empty, []
-                for s, e, words in found:
-                    p = model.sentence(words)
-                    quiet += math.log1p(-min(p, 1 - 1e-12))
-                    if p >= threshold:
-                        bad.append({"start": s, "end": e, "score": p})
-                scores.append(-math.expm1(quiet))
-                spans.append(bad)
+                scores.append(document_score(model, found, bare))
+                spans.append([{"start": s, "end": e, "score": p} for s, e, w in found if (p := model.sentence(w)) >= threshold])
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": scores, "sentences": spans})
 
     return docs.mapInPandas(run, "doc_id bigint, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose own text scores under ``threshold``, all columns, in one pass."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocabulary = split_vocabulary(model.weights)
+        for texts in batches:
+            yield pd.Series([document_score(model, *bag(t, vocabulary)) for t in texts])
+
+    return docs.where(F.pandas_udf(run, "double")(C.whole_text(text_col)) < threshold)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``sentences``.
 
