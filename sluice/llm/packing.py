@@ -11,6 +11,8 @@ partition, so there is no shuffle, memory is bounded and a lost task is redone a
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -107,20 +109,65 @@ def cut(tokens: list[int], capacity: int) -> tuple[list[tuple[int, int, int]], l
     return full, out
 
 
+#: Latin letters and then marks: strings whose lower case is the same in every
+#: version of Unicode, that NFC keeps, and that the tokenizer splits in two.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*&$#%]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The usual byte-level alphabet: printable bytes stand for themselves, the
+    others for the letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words(dict):
     """Ids of a white-space-free string, as little-endian bytes; bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.letters = byte_letters()
+        self.runs: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> Words:
+        """One instance for a worker process and tokenizer file, kept between tasks."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_words", {})
+        if path not in kept:
+            kept[path] = Words(tokenizers.Tokenizer.from_file(path))
+        return kept[path]
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def run(self, low: str) -> bytes:
+        """A run of lower-case letters: one step of the tokenizer's model."""
+        ids = self.runs.get(low)
+        if ids is None:
+            form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            tokens = self.model.tokenize(form)
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            if len(self.runs) >= self.LIMIT:
+                self.runs.clear()
+            self.runs[low] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
+        if len(word) > 64:
+            return self.whole(word)
+        if m := PLAIN.fullmatch(word):
+            ids = self.run(m[1].lower()) + (self[m[2]] if m[2] else b"")
+        else:
+            ids = self.whole(word)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -129,11 +176,11 @@ class Words(dict):
         str.split also splits at four control characters that the tokenizer
         keeps; texts with them go to the tokenizer whole."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 640, group_bytes: int = 64 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 400, group_bytes: int = 64 << 20) -> DataFrame:
     """One row per piece: SCHEMA.
 
     A document is its text's ids and END; a null text counts as empty, so it is
@@ -145,14 +192,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         path = tokenizer_path
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words = Words(Tokenizer.from_file(path))
+        words = Words.of(path)
         end = np.asarray([END], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         ids: list[int | None] = []
