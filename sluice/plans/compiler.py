@@ -322,6 +322,8 @@ def compile_cond(c: Any, s: Scope) -> Val:
         return matched(a, b, errors)
     gone = either(a.missing, b.missing, a.col.isNull(), b.col.isNull())
     if isinstance(a.type, T.StringType) and isinstance(b.type, T.StringType):
+        if any(isinstance(v.literal, str) and parse_number(v.literal) is None for v in (a, b)):
+            return Val(total(order(c.op, a.col, b.col), a, b), BOOL, None, (*errors, error(gone, "comparison requires two numbers or two strings")))
         na, nb = numeric_text(a), numeric_text(b)
         both = na.isNotNull() & nb.isNotNull()
         out = F.when(both, order(c.op, na, nb)).otherwise(order(c.op, a.col, b.col))
@@ -329,15 +331,29 @@ def compile_cond(c: Any, s: Scope) -> Val:
     if any(isinstance(v.type, TIMES) for v in (a, b)):
         a, b = timed(a), timed(b)
         return compile_text_order(c.op, a, b, errors, gone)
-    na, nb = as_number(a), as_number(b)
-    bad = either(gone, na.isNull(), nb.isNull())
-    return Val(F.coalesce(order(c.op, na, nb), F.lit(False)), BOOL, None, (*errors, error(bad, "comparison requires two numbers or two strings")))
+    if isinstance(a.type, T.LongType) and isinstance(b.type, T.LongType):
+        out, bad = total(order(c.op, a.col, b.col), a, b), gone
+    else:
+        na, nb = as_number(a), as_number(b)
+        texts = [n.isNull() for n, v in ((na, a), (nb, b)) if isinstance(v.type, (T.StringType, T.NullType))]
+        out, bad = F.coalesce(order(c.op, na, nb), F.lit(False)) if texts else total(order(c.op, na, nb), a, b), either(gone, *texts)
+    return Val(out, BOOL, None, (*errors, error(bad, "comparison requires two numbers or two strings")))
+
+
+def total(cond: Column, *vals: Val) -> Column:
+    """A comparison as plain conjuncts that are never null: those reach the scan."""
+    for v in vals:
+        if v.literal is MISSING:
+            cond = cond & v.col.isNotNull()
+        if v.missing is not None:
+            cond = cond & ~v.missing
+    return cond
 
 
 def compile_text_order(op: str, a: Val, b: Val, errors: tuple, gone: Column) -> Val:
     if not (isinstance(a.type, T.StringType) and isinstance(b.type, T.StringType)):
         raise NotTyped("a time beside something else than text")
-    return Val(F.coalesce(order(op, a.col, b.col), F.lit(False)), BOOL, None, (*errors, error(gone, "comparison requires two numbers or two strings")))
+    return Val(total(order(op, a.col, b.col), a, b), BOOL, None, (*errors, error(gone, "comparison requires two numbers or two strings")))
 
 
 def timed(v: Val) -> Val:
@@ -374,8 +390,10 @@ def as_number(v: Val) -> Column:
     """Double; null where it is no number."""
     if isinstance(v.type, T.StringType):
         return numeric_text(v)
-    if isinstance(v.type, (T.LongType, T.DoubleType)):
-        return v.col.cast("double")
+    if isinstance(v.type, T.DoubleType):
+        return v.col
+    if isinstance(v.type, T.LongType):
+        return F.lit(float(v.literal)) if isinstance(v.literal, int) else v.col.cast("double")
     if isinstance(v.type, T.NullType):
         return F.lit(None).cast("double")
     raise NotTyped(f"{v.type.simpleString()} as a number")
@@ -395,7 +413,7 @@ def matched(a: Val, b: Val, errors: tuple) -> Val:
     if not isinstance(a.type, T.StringType):
         raise NotTyped("match of something else than a string")
     bad = either(a.missing, a.col.isNull())
-    return Val(F.coalesce(a.col.rlike(pattern_of(b)), F.lit(False)), BOOL, None, (*errors, error(bad, "match requires strings")))
+    return Val(total(a.col.rlike(pattern_of(b)), a), BOOL, None, (*errors, error(bad, "match requires strings")))
 
 
 def text_of(v: Val, version: int) -> Column:

@@ -19,7 +19,7 @@ from ..errors import EvalError
 from ..functions import columns as X
 from ..operators import lookup as L
 from ..values import MISSING, dumps, get_path
-from .ast import Assert, Branch, Call, Finalize, Mapping, Mappings, Pipe, RecordWhen, Ref, Rule
+from .ast import All, Assert, Branch, Call, Compare, Finalize, Lit, Mapping, Mappings, Pipe, RecordWhen, Ref, Rule
 from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number, cast_value, choose, compile_cond, compile_expr, constant, either, elements, error, errors_of, failed, is_null, native, of_column, str_arg, struct, text_of, tree_value, unify, value
 
 MODES = ("strict", "quarantine", "null")
@@ -189,7 +189,8 @@ class Builder:
                     fine = c.col
                 else:
                     self.warnings += [(live & keep & e.cond, e.kind, e.message, path) for e in c.errors]
-                    fine = c.col & ~failed(c.errors) if c.errors else c.col
+                    # a comparison that fails is false, which only matters under a negation
+                    fine = c.col if plain_terms(s.cond) else c.col & ~failed(c.errors)
                 if top and n == 0 and not self.joins:
                     self.filters.append(fine)
                 else:
@@ -282,6 +283,13 @@ class Builder:
         return Val(r["value"].cast(t), t, r["missing"], (bad,))
 
 
+def plain_terms(c: Any) -> bool:
+    """Conditions that are false where they fail: comparisons of references and constants, joined by ``all``."""
+    if isinstance(c, All):
+        return all(plain_terms(x) for x in c.conds)
+    return isinstance(c, Compare) and all(isinstance(x, (Ref, Lit)) for x in (c.left, c.right))
+
+
 def refs(e: Any) -> list[Ref]:
     if isinstance(e, Ref):
         return [e]
@@ -462,7 +470,7 @@ def json_value(c: Column, t: T.DataType) -> Column:
 def json_escape(c: Column) -> Column:
     """Spark's own escapes, taken from an array of one string."""
     quoted = F.to_json(F.array(c))
-    return quoted.substr(F.lit(3), F.length(quoted) - 4)
+    return F.when(c.isNotNull(), quoted.substr(F.lit(3), F.length(quoted) - 4))
 
 
 def compile_rule(rule: Rule, df: DataFrame, context: Any = None, order_by: list[Column] | None = None) -> Compiled:
