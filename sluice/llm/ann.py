@@ -121,7 +121,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     rows = rows.where(F.size("v") == (width[0]["d"] if width else 0))
     # at most `train` vectors
     part = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(train).collect()
-    x = np.asarray([r["v"] for r in part], dtype=np.float64).reshape(len(part), -1)
+    x = np.asarray([r["v"] for r in part], dtype=np.float64)
     codebooks = fit(x, books, min(WORDS, max(1, len(x) // 8))) if len(x) else []
     stacked = np.stack(codebooks) if codebooks else np.zeros((0, 0, 0), dtype=np.float32)
 
