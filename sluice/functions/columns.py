@@ -38,11 +38,14 @@ def float_text(c: Column, version: int) -> Column:
     """The shortest digits: 12.5, 100000.25, 1e21; an integral float as 10.0,
     or as 10 in version 1. Spark's own text has 1.0E7 from ten million on, its
     decimal of a float has the same digits without an exponent."""
-    plain = c.try_cast("decimal(38,16)").cast("string")
     size = F.abs(c)
-    short = F.regexp_replace(plain, r"\.?0+$", "") if version == 1 else F.regexp_replace(plain, r"(\.[0-9]+?)0+$", "$1")
+    digits = c.cast("bigint").cast("string")
+    long = F.regexp_replace(c.try_cast("decimal(38,16)").cast("string"), "0+$", "")
     power = F.regexp_replace(F.lower(c.cast("string")), r"\.0e", "e")
-    return F.when((size < 1e16) & ((size >= 1e-4) | (size == 0)), short).otherwise(power)
+    return (
+        F.when((size < 1e16) & (c == F.floor(c)), digits if version == 1 else F.concat(digits, F.lit(".0")))
+        .when((size < 1e7) & (size >= 1e-3), c.cast("string")).when((size < 1e16) & (size >= 1e-4), long).otherwise(power)
+    )
 
 
 def half_away(c: Column, scale: int) -> Column:

@@ -1043,7 +1043,8 @@ def instant(x: Val, formats: list[str] | None, zone: str | None) -> tuple[Column
         if "%.f" in f:
             reads.append(F.when(x.col.rlike(r"\.\d{1,9}$"), F.try_to_timestamp(x.col, F.lit(p + "[.SSSSSS][.SSS]"))))
         else:
-            reads.append(F.try_to_timestamp(x.col, F.lit(p)))
+            # texts of another shape are not tried: a failing parse is slow
+            reads.append(F.when(x.col.rlike(dates.shape(f)), F.try_to_timestamp(x.col, F.lit(p))))
     local = F.coalesce(*reads)
     if zone and zone != "+00:00":
         local = F.to_utc_timestamp(local, zone)
