@@ -20,7 +20,7 @@ from ..functions import columns as X
 from ..operators import lookup as L
 from ..values import MISSING, dumps, get_path
 from .ast import All, Assert, Branch, Call, Compare, Finalize, Lit, Mapping, Mappings, Pipe, RecordWhen, Ref, Rule
-from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number, cast_value, choose, compile_cond, compile_expr, constant, either, elements, error, errors_of, failed, is_null, native, of_column, str_arg, struct, text_of, tree_value, unify, value
+from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number, cast_value, choose, compile_cond, compile_expr, compile_steps, constant, either, elements, error, errors_of, failed, is_null, native, of_column, str_arg, struct, text_of, tree_value, unify, value
 
 MODES = ("strict", "quarantine", "null")
 
@@ -550,8 +550,8 @@ def wrap(df: DataFrame, template: Any, outs: list[str], order: list[str], types:
             return
         name = f"_w{len(leaves)}"
         if (simple := aggregate(t, types)) is not None:
-            aggs[name], kind = simple
-            leaves[path] = Val(F.col(name), kind)
+            aggs[name], kind, rest = simple
+            leaves[path] = compile_steps(rest, Scope(Val(F.lit(None), T.NullType()), lambda _: None, context, {}, pipe=Val(F.col(name), kind)))
             return
         aggs.setdefault("_rows", F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[F.col(f"`{k}`").cast(native(types[k])).alias(k) for k in sorted(outs)]).alias("r")))), lambda r: r["r"]))
         rows = Val(F.col("_rows"), rows_type)
@@ -567,14 +567,15 @@ def wrap(df: DataFrame, template: Any, outs: list[str], order: list[str], types:
     return one.select(*[(value(v) if isinstance(v, Val) else value(tree_value(v))).alias(k) for k, v in tree.items()])
 
 
-def aggregate(t: Any, types: dict) -> tuple[Column, T.DataType] | None:
-    """len, sum, avg, min and max over all records or over one field of them."""
+def aggregate(t: Any, types: dict) -> tuple[Column, T.DataType, tuple] | None:
+    """len, sum, avg, min and max over all records or over one field of them:
+    the aggregate, its type and the steps that follow."""
     if not isinstance(t, Pipe) or not isinstance(t.start, Ref) or t.start.ns not in ("out", "input") or t.start.path:
         return None
     steps = t.steps
-    if len(steps) == 1 and isinstance(steps[0], Call) and steps[0].op == "len":
-        return F.count(F.lit(1)), LONG
-    if len(steps) != 2 or not isinstance(steps[1], Call) or steps[1].op not in ("sum", "avg", "min", "max"):
+    if isinstance(steps[0], Call) and steps[0].op == "len":
+        return F.count(F.lit(1)), LONG, steps[1:]
+    if len(steps) < 2 or not isinstance(steps[1], Call) or steps[1].op not in ("sum", "avg", "min", "max"):
         return None
     inner = getattr(steps[0], "steps", None) or (steps[0].args if isinstance(steps[0], Call) and steps[0].op == "map" else None)
     if not inner or len(inner) != 1 or not isinstance(inner[0], Ref) or inner[0].ns != "item" or len(inner[0].path) != 1 or inner[0].path[0] not in types:
@@ -582,5 +583,5 @@ def aggregate(t: Any, types: dict) -> tuple[Column, T.DataType] | None:
     v = of_column(F.col(f"`{inner[0].path[0]}`"), types[inner[0].path[0]])
     n = as_number(v)
     out = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[steps[1].op](n)
-    return (out.cast("bigint"), LONG) if isinstance(v.type, T.LongType) and steps[1].op != "avg" else (out, T.DoubleType())
-
+    integral = isinstance(v.type, T.LongType) and steps[1].op != "avg"
+    return out.cast("bigint") if integral else out, LONG if integral else T.DoubleType(), steps[2:]

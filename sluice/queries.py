@@ -432,11 +432,11 @@ finalize:
   filter: { ne: ["@item.status", P] }
   wrap:
     total: ["@out", len]
-    sum: ["@out", { map: ["@item.price"] }, sum]
+    sum: ["@out", { map: ["@item.price"] }, sum, { round: [0] }]
     most: ["@out", { map: ["@item.price"] }, max]
     least: ["@out", { map: ["@item.price"] }, min]
     kind: "lit:orders"
-""", "SELECT count(*) AS total, sum(o_totalprice) AS sum, max(o_totalprice) AS most, min(o_totalprice) AS least, 'orders' AS kind FROM orders WHERE o_orderstatus <> 'P'")
+""", "SELECT count(*) AS total, CAST(round(sum(o_totalprice)) AS BIGINT) AS sum, max(o_totalprice) AS most, min(o_totalprice) AS least, 'orders' AS kind FROM orders WHERE o_orderstatus <> 'P'")
 
 
 @query("branch_tier", """
