@@ -44,11 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's files in the shared folder."""
+    return f"{shared_dir(spark)}/sluice/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators wrote, once their results are written elsewhere."""
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, so a lost
     executor costs only the tasks that it ran."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
@@ -59,9 +74,7 @@ def discard(df: DataFrame | None) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     path = getattr(df, "_sluice_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def join_by_digest(rows: DataFrame, side: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
