@@ -140,7 +140,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     queries = rows.where(F.col("vec_id") % every == 0)
 
     # the grid: each block of codes meets each block of queries in one task
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    # both sides of the cogroup need keys of one type, or they are dealt differently
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = codes.select(deal(n_codes).alias("c"), to(n_queries).alias("q"), "vec_id", "codes")
     right = queries.select(to(n_codes).alias("c"), deal(n_queries).alias("q"), "vec_id", F.transform("v", lambda x: x.cast("float")).alias("v"))

@@ -211,7 +211,11 @@ def test_pii_query(spark, nothing):
 # nearest neighbours
 
 
-def test_ann_recall_and_ties(spark):
+@pytest.mark.parametrize("blocks", [None, (40, 700)])
+def test_ann_recall_and_ties(spark, monkeypatch, blocks):
+    if blocks:  # several blocks on both sides of the grid
+        monkeypatch.setattr(ann, "BLOCK_QUERIES", blocks[0])
+        monkeypatch.setattr(ann, "BLOCK_CODES", blocks[1])
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
