@@ -13,14 +13,18 @@ collisions with probability 1.2e-6; candidates are confirmed on full shingle set
 
 Posting lists are never expanded into all their pairs. Members are compared
 with a leader of the list, links merge components, and only lists that still
-hold several components go on: with other leaders, and at last with the
-remaining pairs across components, so that no link is lost.
+hold several components go on, first with other leaders. What is left then is
+compared in blocks: signatures within a list find the members that may have a
+partner in another component, those of overlapping lists form a cluster, and
+within a cluster the documents outside its largest component meet all others,
+on full sets, in blocks of a bounded size. A block gives at most one link for a
+document and component, so no link between components is lost and no list of
+pairs is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,8 +36,11 @@ from . import _common as C
 
 COORDS = 32
 MATCHES = 14
-#: Rounds in which members meet a leader only, before the remaining pairs.
+#: Rounds in which members meet a leader only, before the blocks.
 LEADER_ROUNDS = 3
+#: Signatures, and full sets, that meet in one task.
+SIGNATURE_BLOCK = 2048
+SET_BLOCK = 256
 _SEED = np.random.default_rng(20240229)
 MULTIPLY = _SEED.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _SEED.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -144,6 +151,91 @@ def _similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where((small * 100 >= large * percent) & (hits >= MATCHES)).select("a", "b")
 
 
+def _dealt(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Each row of a group to all pairs of blocks that its block is in: ``_p``, ``_q``.
+
+    A group of up to ``block`` rows is one pair; beyond it no task gets more
+    than two blocks, however large the group is."""
+    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    return rows.withColumn("_own", own).withColumn("_other", other).withColumns({"_p": F.least("_own", "_other"), "_q": F.greatest("_own", "_other")})
+
+
+def plausible(held: DataFrame, sizes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(key, rep): members of posting lists with a plausible partner in another
+    component: sizes and at least MATCHES collisions allow a link."""
+
+    def meet(sig: np.ndarray, comp: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Flags of one group; only rows outside its most common component look around."""
+        good = np.zeros(len(comp), dtype=bool)
+        names, count = np.unique(comp, return_counts=True)
+        for i in np.flatnonzero(comp != names[count.argmax()]):
+            hit = ((sig == sig[i]).sum(1) >= MATCHES) & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+            if hit.any():
+                good |= hit
+                good[i] = True
+        return good
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by group; a group may go over the end of a batch, most have a few rows
+        held = None
+        for b in (*batches, None):
+            rows = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            group = rows[["key", "_p", "_q"]]
+            starts = np.flatnonzero(np.append(True, (group.to_numpy()[1:] != group.to_numpy()[:-1]).any(1)))
+            ends = np.append(starts[1:], len(rows))
+            if b is not None:
+                held = rows.iloc[starts[-1] :]
+                starts, ends = starts[:-1], ends[:-1]
+            sig, comp, n = np.stack(rows["sig"].to_list()), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy()
+            good = np.zeros(len(rows), dtype=bool)
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                good[s:e] = meet(sig[s:e], comp[s:e], n[s:e])
+            yield rows.loc[good, ["key", "rep"]]
+
+    cols = ("key", "_p", "_q")
+    rows = _dealt(held.join(sizes, "key").join(reps, "rep"), "key", "m", SIGNATURE_BLOCK).select(*cols, "rep", "comp", "n_shingles", "sig")
+    return rows.repartition(*cols).sortWithinPartitions(*cols).mapInPandas(run, "key string, rep bigint").distinct()
+
+
+def across(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within clusters: (cluster, rep, comp, text).
+
+    Documents outside the largest component of their cluster meet all of the
+    cluster, block by block."""
+    counts = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
+    large = counts.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("n")).select("cluster", F.col("x.comp").alias("main"), "n", (F.col("n") - F.col("x.c")).alias("n_out"))
+    rows = members.join(large, "cluster")
+    blocks = lambda n: F.ceil(F.greatest(F.col(n), F.lit(1)) / F.lit(SET_BLOCK)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit(6)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    cols = ("cluster", "i", "j", "rep", "comp", "text")
+    left = rows.where("comp <> main").withColumn("i", own("n_out")).withColumn("j", every("n")).select(*cols).toDF(*cols)
+    right = rows.withColumn("j", own("n")).withColumn("i", every("n_out")).select(*cols).toDF(*cols)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            words = WordHash()
+            sets = [shingle_set(t, k, words) for t in b["text"]]
+            sizes, comp, ids = np.array([len(x) for x in sets]), b["comp"].to_numpy(), b["rep"].to_numpy()
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            for r, c, t in zip(a["rep"], a["comp"], a["text"], strict=True):
+                x = shingle_set(t, k, words)
+                at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+                both = np.bincount(owner[x[at] == flat], minlength=len(sets))
+                hit = np.flatnonzero((comp != c) & (100 * both >= percent * (sizes + len(x) - both)))
+                _, first = np.unique(comp[hit], return_index=True)
+                out += [(r, ids[i]) for i in hit[first]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    keys = ("cluster", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -171,37 +263,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labels = C.materialise(members.groupBy("rep").agg(F.sum("n").alias("score"), F.first("rep").alias("comp")), "near-labels")
     texts = C.materialise(rows.join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
-    tested: list[DataFrame] = []
-    for r in range(LEADER_ROUNDS + 1):
-        held = members.join(labels, "rep")
-        open_ = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-        if r < LEADER_ROUNDS:
-            order = F.struct((-F.col("score") if r == 0 else F.xxhash64(F.lit(r), "rep")).alias("o"), F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
-            leads = held.groupBy("key").agg(F.min(order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("key", "l.lead", "l.lead_comp", "m")
-            leads = C.materialise(leads, "near-leads")
-            size = leads.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-            met = C.join_by_digest(held, leads, "key", "m", size, "rep").where("lead is not null and comp <> lead_comp")
-            pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        else:
-            left = held.join(open_.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "key").where("comp < comp2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-        wanted = C.materialise(_similar(pairs, reps, percent), "near-pairs")
-        if not wanted.take(1):
-            if r < LEADER_ROUNDS:
-                continue
-            break
-        tested.append(wanted)
-        text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))  # noqa: E731, B023
-        links = C.materialise(confirm(wanted.join(text("b"), "b").join(text("a"), "a"), shingle, percent), "near-links")
-        by_comp = lambda c: labels.select(F.col("rep").alias(c), F.col("comp").alias(f"c{c}"))  # noqa: E731, B023
-        joined = components(links.join(by_comp("a"), "a").join(by_comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        new = labels.join(joined.withColumnRenamed("comp", "to"), F.col("comp") == F.col("node"), "left").select("rep", "score", F.coalesce("to", "comp").alias("comp"))
+    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after links between representatives merge their components."""
+        comp = lambda c: labels.select(F.col("rep").alias(c), F.col("comp").alias(f"c{c}"))
+        merged = components(links.join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        new = labels.join(merged.withColumnRenamed("comp", "to"), F.col("comp") == F.col("node"), "left").select("rep", "score", F.coalesce("to", "comp").alias("comp"))
         new = C.materialise(new, "near-labels")
         C.discard(labels)
-        labels = new
+        return new
+
+    for r in range(LEADER_ROUNDS):
+        held = members.join(labels, "rep")
+        order = F.struct((-F.col("score") if r == 0 else F.xxhash64(F.lit(r), "rep")).alias("o"), F.col("rep").alias("lead"), F.col("comp").alias("lead_comp"))
+        leads = held.groupBy("key").agg(F.min(order).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
+        leads = C.materialise(leads.where("low < high").select("key", "l.lead", "l.lead_comp", "m"), "near-leads")
+        size = leads.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        if not size:
+            break
+        met = C.join_by_digest(held, leads, "key", "m", size, "rep").where("lead is not null and comp <> lead_comp")
+        pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        wanted = _similar(pairs, reps, percent)
+        labels = joined(labels, C.materialise(confirm(wanted.join(text("b"), "b").join(text("a"), "a"), shingle, percent), "near-links"))
+
+    held = members.join(labels, "rep").select("key", "rep", "comp")
+    sizes = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("key", "m")
+    maybe = C.materialise(plausible(held, sizes, reps, percent), "near-maybe")
+    first = maybe.groupBy("key").agg(F.min("rep").alias("lead"))
+    clusters = components(maybe.join(first, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+    whole = clusters.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")).join(labels.select("rep", "comp"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    labels = joined(labels, C.materialise(across(C.materialise(whole, "near-clusters"), shingle, percent), "near-links"))
 
     side = classes.join(labels.select("rep", "comp"), "rep", "left").select("set_key", "size", F.coalesce("comp", "rep").alias("comp"))
     own = prep.select("doc_id", "n_shingles", F.coalesce("set_key", F.concat(F.lit("none"), F.xxhash64("doc_id").cast("string"))).alias("set_key"))
