@@ -6,10 +6,14 @@ of that sum is stored with the codes. A query's inner products with all
 codewords make a lookup table, and a candidate's score is the sum of its
 entries. The best candidates are scored again on the original vectors in double
 precision. Codebooks are fitted on a bounded sample; every vector is indexed.
+Equal vectors are one entry; different vectors with equal codes, which the
+codes cannot tell apart, are all scored on the vectors where their code is
+among a query's best.
 
 Queries meet the index in a grid: blocks of queries against blocks of codes. A
 code takes a few bytes where a vector takes hundreds, so what the grid
-replicates is small, and no task sees more than one block of each.
+replicates is small (vectors go along for shared codes only), and no task sees
+more than one block of each.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ WORDS = 32
 BEAM = 4
 #: Vectors that the codebooks are fitted on, at most.
 MAX_TRAIN = 16384
-#: Candidates of a query that are scored exactly.
+#: Distinct codes of a query, best first, whose vectors are scored exactly.
 RERANK = 300
 BLOCK_QUERIES = 1024
 BLOCK_CODES = 16384
@@ -125,6 +129,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     codebooks = fit(x, books, min(WORDS, max(1, len(x) // 8))) if len(x) else []
     stacked = np.stack(codebooks) if codebooks else np.zeros((0, 0, 0), dtype=np.float32)
 
+    # rows with equal vectors are one entry of the index: it has their k + 1 smallest ids, of
+    # which one may be the query's own, so no other id of theirs can be among its k nearest
+    same = [F.xxhash64("v"), F.col("v")]
+    least = rows.dropDuplicates(["vec_id", "v"]).withColumn("_r", F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    entries = least.groupBy(*same).agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("entry"), "ids", "v")
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 1024):
@@ -132,54 +142,75 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 v = np.stack(p["v"].to_list()).astype(np.float32)
                 codes = encode(v, list(stacked))
                 sums = stacked[np.arange(books)[None, :], codes].sum(1)
-                yield pd.DataFrame({"vec_id": p["vec_id"], "codes": [c.tobytes() for c in codes], "norm": (sums * sums).sum(1).astype("float32")})
+                yield pd.DataFrame({"entry": p["entry"], "ids": p["ids"], "v": p["v"], "codes": [c.tobytes() for c in codes], "norm": (sums * sums).sum(1).astype("float32")})
 
-    total = rows.count()
-    n_codes, n_queries = max(1, -(-total // BLOCK_CODES)), max(1, -(-total // (every * BLOCK_QUERIES)))
-    codes = C.materialise(rows.mapInPandas(index, "vec_id bigint, codes binary, norm float"), "ann-codes")
+    codes = C.materialise(entries.mapInPandas(index, "entry bigint, ids array<bigint>, v array<double>, codes binary, norm float"), "ann-codes")
+    total, n_entries = rows.count(), codes.count()
+    n_codes, n_queries = max(1, -(-n_entries // BLOCK_CODES)), max(1, -(-total // (every * BLOCK_QUERIES)))
     queries = rows.where(F.col("vec_id") % every == 0)
 
+    # codes that different vectors share cannot tell them apart: only these take their vectors along
+    shared = codes.groupBy(F.hex("codes").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    keyed = codes.withColumn("key", F.hex("codes"))
+    keyed = C.join_by_digest(keyed, shared, "key", "n", n_entries, "entry")
+
     # the grid: each block of codes meets each block of queries in one task
     # both sides of the cogroup need keys of one type, or they are dealt differently
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    deal = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = codes.select(deal(n_codes).alias("c"), to(n_queries).alias("q"), "vec_id", "codes")
-    right = queries.select(to(n_codes).alias("c"), deal(n_queries).alias("q"), "vec_id", F.transform("v", lambda x: x.cast("float")).alias("v"))
+    left = keyed.select(deal("entry", n_codes).alias("c"), to(n_queries).alias("q"), "entry", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("only"), "codes", F.when(F.col("n") > 1, F.col("v")).alias("v"))
+    right = queries.select(to(n_codes).alias("c"), deal("vec_id", n_queries).alias("q"), "vec_id", "v")
 
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "approx": pd.Series(dtype="float32")})
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "alike": pd.Series(dtype="bool"), "approx": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
             return empty
-        a = a.sort_values("vec_id")
-        # of vectors with equal codes only the k + 1 smallest ids can be among the k nearest
-        a = a[a.groupby("codes").cumcount() <= k]
-        ids = a["vec_id"].to_numpy()
-        code = np.frombuffer(b"".join(a["codes"]), dtype=np.uint8).reshape(len(a), -1).T.astype(np.intp)
+        entry, only = a["entry"].to_numpy(), a["only"].astype("Int64")
+        own = {i: np.array(at) for i, at in a.groupby(only).indices.items()}
+        alike = a["v"].notna().to_numpy()
+        # the entries of each distinct code: where[start[u]:start[u + 1]]
+        distinct, of = np.unique(a["codes"].to_numpy(), return_inverse=True)
+        where = np.argsort(of, kind="stable")
+        start = np.searchsorted(of[where], np.arange(len(distinct) + 1))
+        crowd = alike[where[start[:-1]]]
+        vectors = {u: np.stack(a["v"].iloc[where[start[u] : start[u + 1]]].to_list()) for u in np.flatnonzero(crowd)}
+        code = np.frombuffer(b"".join(distinct), dtype=np.uint8).reshape(len(distinct), -1).T.astype(np.intp)
         n, odd = stacked.shape[1], len(code) % 2
         # two books share one table of their sums: half the look-ups
-        pairs = np.stack([code[m] * n + code[m + 1] for m in range(0, len(code) - odd, 2)]) if len(code) > 1 else np.zeros((0, len(a)), dtype=np.intp)
+        pairs = np.stack([code[m] * n + code[m + 1] for m in range(0, len(code) - odd, 2)]) if len(code) > 1 else np.zeros((0, len(distinct)), dtype=np.intp)
         out = []
         for q, v in zip(b["vec_id"], b["v"], strict=True):
             table = stacked @ np.asarray(v, dtype=np.float32)  # books x words
             sums = (table[0 : len(table) - odd : 2, :, None] + table[1::2, None, :]).reshape(len(pairs), -1)
-            s = table[-1][code[-1]] if odd else np.zeros(len(a), dtype=np.float32)
+            s = table[-1][code[-1]] if odd else np.zeros(len(distinct), dtype=np.float32)
             for t, at in zip(sums, pairs, strict=True):
                 s += t[at]
-            s[ids == q] = -np.inf
+            mine = own.get(q, np.zeros(0, dtype=np.intp))
+            s[of[mine[~alike[mine]]]] = -np.inf
             best = np.arange(len(s))
             if len(s) > rerank:
-                least = -np.partition(-s, rerank - 1)[rerank - 1]
-                over, equal = np.flatnonzero(s > least), np.flatnonzero(s == least)
-                best = np.concatenate([over, equal[: rerank - len(over)]])  # ties: the smaller ids
+                best = np.flatnonzero(s >= -np.partition(-s, rerank - 1)[rerank - 1])  # all of a tie
             best = best[s[best] > -np.inf]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "approx": s[best]}))
+            plain = best[~crowd[best]]
+            out.append(pd.DataFrame({"query_id": q, "entry": entry[where[start[plain]]], "alike": False, "approx": s[plain].astype(np.float64)}))
+            # of the entries that share codes all are scored, on their vectors
+            if len(full := best[crowd[best]]):
+                at = np.concatenate([where[start[u] : start[u + 1]] for u in full])
+                exact = np.concatenate([vectors[u] @ np.asarray(v, dtype=np.float64) for u in full])
+                exact[np.isin(at, mine)] = -np.inf
+                if len(at) > rerank:
+                    keep = np.flatnonzero(exact >= -np.partition(-exact, rerank - 1)[rerank - 1])
+                    at, exact = at[keep], exact[keep]
+                at, exact = at[exact > -np.inf], exact[exact > -np.inf]
+                out.append(pd.DataFrame({"query_id": q, "entry": entry[at], "alike": True, "approx": exact}))
         return pd.concat(out)
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(scan, "query_id bigint, vec_id bigint, approx float")
-    near = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    chosen = found.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= rerank).select("query_id", "vec_id").distinct()
-    exact = chosen.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id")
-    scored = exact.groupBy("query_id", "vec_id").agg(F.max(_dot("v", "u")).alias("score"))
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(scan, "query_id bigint, entry bigint, alike boolean, approx double")
+    near = Window.partitionBy("query_id", "alike").orderBy(F.desc("approx"))
+    chosen = found.withColumn("_r", F.rank().over(near)).where(F.col("_r") <= rerank).select("query_id", "entry").distinct()
+    exact = chosen.join(codes.select("entry", "ids", "v"), "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id")
+    each = exact.select("query_id", _dot("v", "u").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    scored = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -241,3 +241,27 @@ def test_ann_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.search(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-3, 1e-2])
+@pytest.mark.parametrize("near", [200, 1500])
+def test_ann_near_equal_vectors(spark, near, noise):
+    """Near copies share codes: more of them than are reranked, and than have the smallest ids."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000 + near, 24))
+    x[2000:] = x[0] + noise * rng.normal(size=(near, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, books=12, train=2000).toPandas().groupby("query_id")["vec_id"].agg(set)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    close = [q for q in range(0, len(x), 20) if np.sort(scores[q])[-20] > 0.9]
+    hits = [len(got[q] & set(np.argsort(-scores[q])[:20].tolist())) / 20 for q in close]
+    assert len(close) >= 5 and np.mean(hits) >= 0.9
+
+
+def test_ann_repeated_rows_are_one_candidate(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(2, 9)] + [(0, [1.0, 0.5])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas()
+    assert list(got.sort_values("rank")["vec_id"]) == list(range(1, 9))
