@@ -1,30 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
 Each source is a task with weight w; its j-th block (``block_docs`` documents)
-is released at floor(j / w) and due at ceil((j + 1) / w), and earliest deadline
-first fills one slot after another. With integer weights that sum to Q, one
-period of Q slots is scheduled on the driver (its size does not depend on the
-data) and repeated, so a block's slot is arithmetic on its index. When a source
-runs dry, a new phase starts with the weights of the others. In each prefix of
-a phase every source is less than one block from its share.
+is released at floor(t(j / w)) and due at ceil(t((j + 1) / w)), and earliest
+deadline first fills one slot after another. t(v) is the number of slots after
+which sources in exact shares would have given min(blocks, w v) blocks each, so
+a source that runs dry leaves its share to the others. In each prefix of the
+mix every source is less than one block from its share. Weights are exact
+rationals: nothing is rounded. The driver schedules numbers of blocks, not
+rows, with one entry of eight bytes for each block; documents find the slots of
+their blocks by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_right
+from fractions import Fraction
+from math import lcm
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _common as C
 
-#: Sources with a stream of their own; the smaller rest shares one stream. With
-#: PERIOD this bounds the schedule that is broadcast, whatever the input.
+#: Sources with a stream of their own; the smaller rest shares one stream.
 MAX_SOURCES = 64
-#: Slots of a period while all sources have blocks: the resolution of weights.
+#: Slots of a period of ``integer_weights``, if not given.
 PERIOD = 1000
+#: Blocks of a source whose slots are one row of the schedule.
+CHUNK = 1024
+#: Schedules of at most this many blocks are broadcast, longer ones shuffled.
+BROADCAST_BLOCKS = 1 << 21
 REST = "\x00rest"
 
 
@@ -103,6 +112,52 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Piece]:
     return out
 
 
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
+    """The slot of each block of each source."""
+    names = sorted(s for s, b in blocks.items() if b > 0)
+    exact = [Fraction(weights[s]) for s in names]
+    scale = lcm(*[w.denominator for w in exact])
+    w, n = [int(x * scale) for x in exact], [blocks[s] for s in names]
+    # up to the p-th source running dry, t(v) = given[p] + rate[p] * v
+    dry = sorted((Fraction(b, x), i) for i, (b, x) in enumerate(zip(n, w, strict=True)))
+    ends, given, rate = [v for v, _ in dry], [0], [sum(w)]
+    for _, i in dry:
+        given.append(given[-1] + n[i])
+        rate.append(rate[-1] - w[i])
+    phase = [0] * len(names)
+
+    def passes(i: int, j: int) -> tuple[int, int]:
+        """floor and ceil of t(j / w)."""
+        p = phase[i]
+        if p < len(ends) and ends[p].numerator * w[i] <= j * ends[p].denominator:
+            p = phase[i] = bisect_right(ends, Fraction(j, w[i]), p)
+        x = rate[p] * j
+        return given[p] + x // w[i], given[p] - (-x // w[i])
+
+    slots = [array("q") for _ in names]
+    ready, waiting = [], []
+    following = [0] * len(names)
+    for i in range(len(names)):
+        following[i], due = passes(i, 1)
+        ready.append((due, i))
+    heapq.heapify(ready)
+    for t in range(sum(n)):
+        while waiting and waiting[0][0] <= t:
+            _, due, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i))
+        _, i = heapq.heappop(ready)
+        slots[i].append(t)
+        done = len(slots[i])
+        if done < n[i]:
+            release = following[i]
+            following[i], due = passes(i, done + 1)
+            if release <= t + 1:
+                heapq.heappush(ready, (due, i))
+            else:
+                heapq.heappush(waiting, (release, due, i))
+    return dict(zip(names, slots, strict=True))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 16, rows_per_bucket: int = 4096) -> DataFrame:
     """All rows and columns of ``docs``, with ``_stream``, ``_block``, ``_slot``, ``_position``.
 
@@ -129,9 +184,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         raise ValueError(f"at most {MAX_SOURCES - 1} weights")
     share = {s: (weights or {}).get(s, min((weights or {1: 1}).values())) if weights else n**0.5 for s, n in sizes.items()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
-    pieces = plan(blocks, integer_weights(share)) if sizes else []
-    schema = T.StructType([T.StructField("_ps", T.StringType()), *[T.StructField(f"_{c}", T.LongType()) for c in ("first", "last", "base", "q", "n")], T.StructField("_slots", T.ArrayType(T.IntegerType()))])
-    table = spark.createDataFrame([tuple(p) for p in pieces], schema)
+    chunks = [(s, c // CHUNK, x[c : c + CHUNK]) for s, x in schedule(blocks, share).items() for c in range(0, len(x), CHUNK)]
+    columns = [pa.array([c[0] for c in chunks], pa.string()), pa.array([c[1] for c in chunks], pa.int64()), pa.array([c[2] for c in chunks], pa.list_(pa.int64()))]
+    table = C.materialise(spark.createDataFrame(pa.table(columns, names=["_ps", "_chunk", "_slots"])), "mixing-slots")
 
     own = name.isin(list(sizes)) if sizes else F.lit(True)
     buckets = max(1, -(-total // rows_per_bucket))
@@ -148,9 +203,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     before = per.withColumn("_near", F.coalesce(F.sum("count").over(near), F.lit(0))).join(groups, ["_stream", "_group"]).select("_stream", "_bucket", (F.col("_near") + F.col("_far")).alias("_before"))
     index = F.col("_before") + F.col("_rank")
     placed = numbered.join(before, ["_stream", "_bucket"]).withColumn("_index", index).withColumn("_block", F.expr(f"_index div {block_docs}"))
-    # at most MAX_SOURCES phases of one piece per source and PERIOD slots
-    joined = placed.join(F.broadcast(table), (F.col("_stream") == F.col("_ps")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")))
-    slot = F.expr("_base + ((_block - _first) div _n) * _q + get(_slots, cast((_block - _first) % _n as int))")
+    table = F.broadcast(table) if sum(blocks.values()) <= BROADCAST_BLOCKS else table
+    joined = placed.join(table, (F.col("_stream") == F.col("_ps")) & (F.expr(f"_block div {CHUNK}") == F.col("_chunk")))
+    slot = F.expr(f"get(_slots, cast(_block % {CHUNK} as int))")
     out = joined.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block_docs + F.col("_index") % block_docs)
     return out.select(*docs.columns, "_stream", "_block", "_slot", "_position")
 

@@ -123,6 +123,50 @@ def test_mixing_plan_uses_every_block():
     assert sorted(slots) == list(range(43))
 
 
+def shares(blocks, weights, slots):
+    """Blocks that exact shares give, after each number of slots at which it is looked up."""
+    order = sorted(blocks, key=lambda s: blocks[s] / weights[s])
+
+    def at(t):
+        left, out = t, {}
+        for i, s in enumerate(order):
+            rest = sum(weights[x] for x in order[i:])
+            v = left / rest
+            if weights[s] * v <= blocks[s]:
+                return out | {x: weights[x] * v for x in order[i:]}
+            out[s] = blocks[s]
+            left -= blocks[s]
+        return out
+
+    return {t: at(t) for t in slots}
+
+
+def within_one_block(blocks, weights, order, step=1):
+    seen = Counter()
+    want = shares(blocks, weights, range(step, len(order) + 1, step))
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        assert t not in want or all(abs(seen[x] - w) < 1 + 1e-6 for x, w in want[t].items())
+    return seen == blocks
+
+
+def test_mixing_keeps_real_weights_over_many_blocks():
+    """A third of the documents in one source, the rest in 19: far off after 100,000 slots of rounded weights."""
+    blocks = {"big": 40_000} | {f"s{i:02}": 80_000 // 19 + i for i in range(19)}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    order = [None] * sum(blocks.values())
+    for s, slots in mixing.schedule(blocks, weights).items():
+        for t in slots:
+            order[t] = s
+    assert within_one_block(blocks, weights, order, 97)
+
+
+def test_mixing_small_named_weight(spark):
+    df = spark.createDataFrame([(i, "a" if i > 4 else "b") for i in range(4000)], "doc_id bigint, source string")
+    out = mixing.mix(df, {"a": 1.0, "b": 0.0005}, block_docs=1).toPandas().sort_values("_slot")
+    assert within_one_block({"a": 3995, "b": 5}, {"a": 1.0, "b": 0.0005}, list(out["_stream"]))
+
+
 def brute_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 
