@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Sources with a stream of their own; the smaller rest shares one stream.
-MAX_SOURCES = 64
 #: Slots of a period of ``integer_weights``, if not given.
 PERIOD = 1000
 #: Blocks of a source whose slots are one row of the schedule.
 CHUNK = 1024
 #: Schedules of at most this many blocks are broadcast, longer ones shuffled.
 BROADCAST_BLOCKS = 1 << 21
+#: The stream of the sources that ``weights`` does not name.
 REST = "\x00rest"
 
 
@@ -163,34 +162,30 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     ``_position`` orders the mix. ``weights`` are targets per source (named
     sources only need a positive number); by default the square root of a
-    source's share of documents, which lifts small sources. Sources beyond
-    MAX_SOURCES, the smallest ones, or those that ``weights`` does not name,
-    share one stream. No row is dropped or repeated: a source that runs dry
-    leaves the mix and the rest goes on. Within a source the order is by a hash
-    of the id, then the id. Null sources form a source of their own, null ids
-    come in any order among themselves, repeated rows are scheduled each, and
-    an empty table stays empty.
+    source's share of documents, which lifts small sources. Every source has its
+    own weight; only those that ``weights`` does not name share one stream. No
+    row is dropped or repeated: a source that runs dry leaves the mix and the
+    rest goes on. Within a source the order is by a hash of the id, then the id.
+    Null sources form a source of their own, null ids come in any order among
+    themselves, repeated rows are scheduled each, and an empty table stays empty.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     counts = docs.groupBy(name.alias("s")).count()
-    top = counts.orderBy(F.desc("count"), "s").limit(MAX_SOURCES - 1) if weights is None else counts.where(F.col("s").isin(list(weights)))
-    sizes = {r["s"]: r["count"] for r in top.collect()}
+    own = counts if weights is None else counts.where(F.col("s").isin(list(weights)))
+    sizes = {r["s"]: r["count"] for r in own.collect()}
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    rest = total - sum(sizes.values())
-    if rest:
+    if rest := total - sum(sizes.values()):
         sizes[REST] = rest
-    if weights is not None and len(weights) >= MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES - 1} weights")
     share = {s: (weights or {}).get(s, min((weights or {1: 1}).values())) if weights else n**0.5 for s, n in sizes.items()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     chunks = [(s, c // CHUNK, x[c : c + CHUNK]) for s, x in schedule(blocks, share).items() for c in range(0, len(x), CHUNK)]
     columns = [pa.array([c[0] for c in chunks], pa.string()), pa.array([c[1] for c in chunks], pa.int64()), pa.array([c[2] for c in chunks], pa.list_(pa.int64()))]
     table = C.materialise(spark.createDataFrame(pa.table(columns, names=["_ps", "_chunk", "_slots"])), "mixing-slots")
 
-    own = name.isin(list(sizes)) if sizes else F.lit(True)
+    named = F.lit(True) if weights is None else name.isin(list(weights))
     buckets = max(1, -(-total // rows_per_bucket))
-    rows = docs.withColumn("_stream", F.when(own, name).otherwise(F.lit(REST))).withColumn("_hash", F.xxhash64(F.lit(7), F.col(id_col)))
+    rows = docs.withColumn("_stream", F.when(named, name).otherwise(F.lit(REST))).withColumn("_hash", F.xxhash64(F.lit(7), F.col(id_col)))
     # unsigned buckets of the hash, so that buckets follow the order within a source
     rows = rows.withColumn("_bucket", F.floor((F.col("_hash").cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("bigint"))
     inside = Window.partitionBy("_stream", "_bucket").orderBy("_hash", id_col)

@@ -167,6 +167,18 @@ def test_mixing_small_named_weight(spark):
     assert within_one_block({"a": 3995, "b": 5}, {"a": 1.0, "b": 0.0005}, list(out["_stream"]))
 
 
+def test_mixing_many_sources(spark):
+    """More sources than 64: each has its own weight, by default and named."""
+    rows = [(i, f"s{int((i * 4) ** 0.5):03}") for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string")
+    blocks = Counter(r[1] for r in rows)
+    assert len(blocks) > 90
+    for weights in (None, {s: 1.0 + i % 5 for i, s in enumerate(blocks)}):
+        out = mixing.mix(df, weights, block_docs=1).toPandas().sort_values("_slot")
+        assert sorted(out["doc_id"]) == list(range(2500))
+        assert within_one_block(blocks, weights or {s: n**0.5 for s, n in blocks.items()}, list(out["_stream"]))
+
+
 def brute_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 
