@@ -14,6 +14,8 @@ from sluice.llm import exact_dedup, mixing, near_dedup, packing
 from sluice.llm import toxicity as tox
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents of a partition of the packing stage, at least: ten packing groups.
+PART_DOCS = 4000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +36,24 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one(docs).select(*COLUMNS)
 
 
+def _in_order(docs: DataFrame, parts: int) -> DataFrame:
+    """The documents in the order of the mix, which depends on their ids and sources only."""
+    return mixing.mix(docs).repartitionByRange(parts, "_position").sortWithinPartitions("_position", "doc_id").select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files and rows follow the schedule,
-    so each packing group, and each prefix of the sequences, has the target weights."""
-    mixed = mixing.mix(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "_position").sortWithinPartitions("_position", "doc_id").select(*COLUMNS)
+    """All documents, in the order of the mix: files and rows follow the schedule."""
+    return _in_order(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
-    return packing.pack(docs, None)
+    """Pieces of sequences of at most 2048 tokens, numbered in the order of the mix.
+
+    Spark reads files in an order of its own, so the mix is computed again from
+    ids and sources: each packing group, and each prefix of whole groups, has
+    the target weights."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS))
+    return packing.pack(_in_order(docs, max(1, parts)), None)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", dedup), ("near_dedup", near_dup), ("mixing", mix), ("packing", pack)]

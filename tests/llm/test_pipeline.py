@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
-from sluice.llm import registry, toxicity
+from sluice.llm import mixing, registry, toxicity
 
 COLUMNS = list(P.COLUMNS)
 
@@ -61,3 +61,17 @@ def test_keep_clean_keeps_all_columns(spark, corpus):
     path, _ = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet")
     assert toxicity.keep_clean(docs, toxicity.Model({"vile": 30.0}, -14.0, 0.01)).columns == COLUMNS
+
+
+def test_sequences_follow_the_mix_over_files(spark, tmp_path, monkeypatch):
+    """The mix written to files of unequal size, which Spark reads largest first."""
+    monkeypatch.setattr(P, "PART_DOCS", 700, raising=False)
+    rows = [(i, f"w{i} " * (200 if i % 10 > 3 else 5), "en", "big" if i % 10 > 3 else f"s{i % 10}", 0) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    P.mix(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    got = P.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").toPandas().groupby("doc_id")["sequence_id"].agg(["min", "max"])
+    order = [r["doc_id"] for r in mixing.mix(docs).orderBy("_position").select("doc_id").collect()]
+    first, last = got["min"].loc[order].tolist(), got["max"].loc[order].tolist()
+    assert len(got) == 2400
+    # a group holds 400 documents: those further apart are in sequences in the order of the mix
+    assert all(max(last[: i + 1]) < min(first[i + 400 :]) for i in range(0, 2000, 50))
