@@ -202,6 +202,17 @@ def test_held_out_precision():
     assert sum(h and y for h, y in zip(hit, labels, strict=True)) / sum(labels) >= 0.5
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_the_host(spark):
+    """A notice on 5 of 600 pages goes; text that only copies of one page share stays."""
+    notice, copied = "this part of the site moves to another place soon", "a story that was put up four times in a row"
+    rows = [(i, f"http://h.x/{i}", f"<div>{f'<p>{notice}</p>' if i < 5 else ''}<p>number {i} speaks of {i * 7} and of {i * 11} alone</p></div>") for i in range(600)]
+    rows += [(1000 + i, f"http://h.x/c{i}", f"<div><p>{copied}</p></div>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    out = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert all(out[i] == f"number {i} speaks of {i * 7} and of {i * 11} alone" for i in range(600))
+    assert all(out[1000 + i] == copied for i in range(4))
+
+
 def test_pii_query(spark, nothing):
     df = spark.createDataFrame([(1, "x a@b.cd"), (None, None), (1, "x a@b.cd"), (3, "")], EMPTY).withColumn("found", F.lit("clash"))
     assert sorted(len(r["found"]) for r in pii.find_pii(df).collect()) == [0, 0, 1, 1]
