@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than 1 / HOT_KEYS of all rows, so at
 #: most HOT_KEYS keys are hot whatever the input: that bounds what is broadcast.
-HOT_KEYS = 1000
+HOT_KEYS = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,10 +34,13 @@ def ascii_lower(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; where it is unset (tests) a
-    temporary folder is made once and set for the session.
+    ``spark.checkpoint.dir`` of the session; where it is unset a temporary
+    folder is made once and set for the session, but only where driver and
+    executors are one process (local tests): on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sluice.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("sluice.checkpoint.dir", path)
@@ -89,11 +92,27 @@ def join_by_digest(rows: DataFrame, side: DataFrame, key: str, size: str, total:
     hot = side.where(is_hot).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in cols], F.lit(True).alias("_hit"))
     cold = side.where(~is_hot).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in cols])
     a = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    own = F.when(F.col("_hit"), F.concat(F.lit("-"), F.xxhash64(spread).cast("string"))).otherwise(F.col(key))
+    # a spread key may equal another's: its match is not used
+    mixed = F.xxhash64(spread)
+    kind = dict(rows.dtypes)[key]
+    own = F.when(F.col("_hit"), {"bigint": mixed, "binary": F.unhex(F.hex(mixed))}.get(kind, F.concat(F.lit("-"), mixed.cast("string")))).otherwise(F.col(key))
     b = a.withColumn("_jk", own).join(cold, F.col("_jk") == F.col("_ck"), "left")
     return b.select(*rows.columns, *[F.when(F.col("_hit"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in cols])
 
 
+def once(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` without repeated rows of one id and text; rows with a null id stay.
+
+    Ids are counted first: where none is repeated, no text is moved."""
+    ids = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not ids.take(1):
+        return rows
+    ids = materialise(ids.select("_again"), "repeated")
+    known = F.col(id_col) == F.col("_again")
+    unlike = rows.withColumn("_text", F.sha2(whole_text(text_col), 256)).join(ids, known, "left_semi").dropDuplicates([id_col, "_text"]).drop("_text")
+    return rows.join(ids, known, "left_anti").unionByName(unlike)
+
+
 def ship(name: str) -> None:
     """Send a module's functions to Python workers by value: executors need no
     copy of this repository."""
