@@ -1,24 +1,24 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is encoded as a sum of one codeword from each of several
-full-dimensional codebooks, by beam search over the residuals; the squared norm
-of that sum is stored with the codes. A query's inner products with all
-codewords make a lookup table, and a candidate's score is the sum of its
-entries. The best candidates are scored again on the original vectors in double
-precision. Codebooks are fitted on a bounded sample; every vector is indexed.
-Equal vectors are one entry; different vectors with equal codes, which the
-codes cannot tell apart, are all scored on the vectors where their code is
-among a query's best.
-
-Queries meet the index in a grid: blocks of queries against blocks of codes. A
-code takes a few bytes where a vector takes hundreds, so what the grid
-replicates is small (vectors go along for shared codes only), and no task sees
-more than one block of each.
+full-dimensional codebooks, by beam search over the residuals. The norms of the
+vector and of that sum are stored with the codes as their quotient: sums of
+codewords fall short by different amounts, and the quotient makes up for it. A
+query's inner products with all codewords make a lookup table, and a
+candidate's score is the sum of its entries, times the quotient. The best
+candidates are scored again on the original vectors in double precision.
+Codebooks are fitted on a bounded sample; every vector is indexed. Equal vectors
+are one entry; different vectors with equal codes, which codes cannot tell
+apart, go along with their codes and are scored on them.
+
+Queries meet the index in blocks: a task has one block of queries and streams
+one stripe of the codes, of which it keeps each query's best as it goes. Stripes
+are dealt at random and their number is bounded, so the best of all are among
+the few that each stripe gives, and what a query gives does not grow with the index.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +33,13 @@ WORDS = 32
 BEAM = 4
 #: Vectors that the codebooks are fitted on, at most.
 MAX_TRAIN = 16384
-#: Distinct codes of a query, best first, whose vectors are scored exactly.
+#: Entries of a query that are scored exactly, the best by their codes; as many again
+#: of those that share codes.
 RERANK = 300
-BLOCK_QUERIES = 1024
-BLOCK_CODES = 16384
+BLOCK_QUERIES = 2048
+#: Codes of a stripe, until there are MAX_STRIPES of them.
+STRIPE_CODES = 8192
+MAX_STRIPES = 64
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -99,15 +102,51 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, refine: int = 1)
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: double arrays without null or
-    non-finite components, not all zero."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    """(vec_id, v) of the vectors that take part: arrays without null or
+    non-finite components, not all zero; of floats, if the input has floats."""
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0))
 
 
 def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def share(rerank: int, stripes: int) -> int:
+    """How many of the ``rerank`` best may be in one of ``stripes`` random stripes:
+    the mean and five standard deviations."""
+    mean = rerank / stripes
+    return rerank if stripes == 1 else min(rerank, int(mean + 5 * mean**0.5) + 5)
+
+
+class Best:
+    """The best ``k`` scores of each of several queries, and all that equal the last of them."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(queries)]
+        self.size = [0] * queries
+
+    def add(self, q: int, scores: np.ndarray, entries: np.ndarray) -> None:
+        at = np.flatnonzero((scores >= self.least[q]) & (scores > -np.inf))
+        if len(at):
+            self.held[q].append((scores[at], entries[at]))
+            self.size[q] += len(at)
+            if self.size[q] > 4 * self.k:
+                self.of(q)
+
+    def of(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held[q]:
+            return np.zeros(0), np.zeros(0, dtype=np.int64)
+        s, e = (np.concatenate(x) for x in zip(*self.held[q], strict=True))
+        if len(s) > self.k:
+            self.least[q] = -np.partition(-s, self.k - 1)[self.k - 1]
+            keep = s >= self.least[q]
+            s, e = s[keep], e[keep]
+        self.held[q], self.size[q] = [(s, e)], len(s)
+        return s, e
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, train: int = MAX_TRAIN, books: int = BOOKS) -> DataFrame:
@@ -127,6 +166,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     part = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(train).collect()
     x = np.asarray([r["v"] for r in part], dtype=np.float64)
     codebooks = fit(x, books, min(WORDS, max(1, len(x) // 8))) if len(x) else []
+    books = len(codebooks)
     stacked = np.stack(codebooks) if codebooks else np.zeros((0, 0, 0), dtype=np.float32)
 
     # rows with equal vectors are one entry of the index: it has their k + 1 smallest ids, of
@@ -142,70 +182,78 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 v = np.stack(p["v"].to_list()).astype(np.float32)
                 codes = encode(v, list(stacked))
                 sums = stacked[np.arange(books)[None, :], codes].sum(1)
-                yield pd.DataFrame({"entry": p["entry"], "ids": p["ids"], "v": p["v"], "codes": [c.tobytes() for c in codes], "norm": (sums * sums).sum(1).astype("float32")})
+                quotient = np.sqrt((v * v).sum(1) / np.maximum((sums * sums).sum(1), 1e-30))
+                yield pd.DataFrame({"entry": p["entry"], "ids": p["ids"], "v": p["v"], "codes": [c.tobytes() for c in codes], "norm": quotient.astype("float32")})
 
-    codes = C.materialise(entries.mapInPandas(index, "entry bigint, ids array<bigint>, v array<double>, codes binary, norm float"), "ann-codes")
+    kind = dict(rows.dtypes)["v"]
+    codes = C.materialise(entries.mapInPandas(index, f"entry bigint, ids array<bigint>, v {kind}, codes binary, norm float"), "ann-codes")
     total, n_entries = rows.count(), codes.count()
-    n_codes, n_queries = max(1, -(-n_entries // BLOCK_CODES)), max(1, -(-total // (every * BLOCK_QUERIES)))
+    stripes, blocks = min(MAX_STRIPES, max(1, -(-n_entries // STRIPE_CODES))), max(1, -(-total // (every * BLOCK_QUERIES)))
     queries = rows.where(F.col("vec_id") % every == 0)
 
     # codes that different vectors share cannot tell them apart: only these take their vectors along
-    shared = codes.groupBy(F.hex("codes").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    keyed = codes.withColumn("key", F.hex("codes"))
-    keyed = C.join_by_digest(keyed, shared, "key", "n", n_entries, "entry")
+    shared = codes.groupBy("codes").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = C.join_by_digest(codes, shared, "codes", "n", n_entries, "entry")
 
-    # the grid: each block of codes meets each block of queries in one task
-    # both sides of the cogroup need keys of one type, or they are dealt differently
     deal = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = keyed.select(deal("entry", n_codes).alias("c"), to(n_queries).alias("q"), "entry", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("only"), "codes", F.when(F.col("n") > 1, F.col("v")).alias("v"))
-    right = queries.select(to(n_codes).alias("c"), deal("vec_id", n_queries).alias("q"), "vec_id", "v")
-
-    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "alike": pd.Series(dtype="bool"), "approx": pd.Series(dtype="float64")})
-        if not len(a) or not len(b):
-            return empty
-        entry, only = a["entry"].to_numpy(), a["only"].astype("Int64")
-        own = {i: np.array(at) for i, at in a.groupby(only).indices.items()}
-        alike = a["v"].notna().to_numpy()
-        # the entries of each distinct code: where[start[u]:start[u + 1]]
-        distinct, of = np.unique(a["codes"].to_numpy(), return_inverse=True)
-        where = np.argsort(of, kind="stable")
-        start = np.searchsorted(of[where], np.arange(len(distinct) + 1))
-        crowd = alike[where[start[:-1]]]
-        vectors = {u: np.stack(a["v"].iloc[where[start[u] : start[u + 1]]].to_list()) for u in np.flatnonzero(crowd)}
-        code = np.frombuffer(b"".join(distinct), dtype=np.uint8).reshape(len(distinct), -1).T.astype(np.intp)
-        n, odd = stacked.shape[1], len(code) % 2
-        # two books share one table of their sums: half the look-ups
-        pairs = np.stack([code[m] * n + code[m + 1] for m in range(0, len(code) - odd, 2)]) if len(code) > 1 else np.zeros((0, len(distinct)), dtype=np.intp)
-        out = []
-        for q, v in zip(b["vec_id"], b["v"], strict=True):
-            table = stacked @ np.asarray(v, dtype=np.float32)  # books x words
-            sums = (table[0 : len(table) - odd : 2, :, None] + table[1::2, None, :]).reshape(len(pairs), -1)
-            s = table[-1][code[-1]] if odd else np.zeros(len(distinct), dtype=np.float32)
-            for t, at in zip(sums, pairs, strict=True):
-                s += t[at]
-            mine = own.get(q, np.zeros(0, dtype=np.intp))
-            s[of[mine[~alike[mine]]]] = -np.inf
-            best = np.arange(len(s))
-            if len(s) > rerank:
-                best = np.flatnonzero(s >= -np.partition(-s, rerank - 1)[rerank - 1])  # all of a tie
-            best = best[s[best] > -np.inf]
-            plain = best[~crowd[best]]
-            out.append(pd.DataFrame({"query_id": q, "entry": entry[where[start[plain]]], "alike": False, "approx": s[plain].astype(np.float64)}))
-            # of the entries that share codes all are scored, on their vectors
-            if len(full := best[crowd[best]]):
-                at = np.concatenate([where[start[u] : start[u + 1]] for u in full])
-                exact = np.concatenate([vectors[u] @ np.asarray(v, dtype=np.float64) for u in full])
-                exact[np.isin(at, mine)] = -np.inf
-                if len(at) > rerank:
-                    keep = np.flatnonzero(exact >= -np.partition(-exact, rerank - 1)[rerank - 1])
-                    at, exact = at[keep], exact[keep]
-                at, exact = at[exact > -np.inf], exact[exact > -np.inf]
-                out.append(pd.DataFrame({"query_id": q, "entry": entry[at], "alike": True, "approx": exact}))
-        return pd.concat(out)
-
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(scan, "query_id bigint, entry bigint, alike boolean, approx double")
+    none = lambda t: F.lit(None).cast(t)
+    cols = ("q", "c", "kind", "id", "codes", "norm", "v")
+    left = queries.select(to(stripes).alias("c"), deal("vec_id", blocks).alias("q"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), none("binary").alias("codes"), none("float").alias("norm"), "v")
+    right = keyed.select(to(blocks).alias("q"), deal("entry", stripes).alias("c"), F.lit(1).alias("kind"), F.col("entry").alias("id"), "codes", "norm", F.when(F.col("n") > 1, F.col("v")).alias("v"))
+    quota = share(rerank, stripes)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, odd = (stacked.shape[1] if books else 0), books % 2
+        group, ids, vectors, plain, alike = None, [], [], None, None
+
+        def result() -> pd.DataFrame:
+            out = [(i, *best.of(q), best is alike) for best in (plain, alike) for q, i in enumerate(ids)]
+            size = [len(x[1]) for x in out]
+            return pd.DataFrame({"query_id": np.repeat([x[0] for x in out], size).astype("int64"), "entry": np.concatenate([x[2] for x in out]), "alike": np.repeat([x[3] for x in out], size), "approx": np.concatenate([x[1] for x in out])})
+
+        for b in batches:
+            at = b[["q", "c"]].to_numpy()
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1)))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+                if group != (here := tuple(at[s])):
+                    if plain:
+                        yield result()
+                    group, ids, vectors, plain, alike = here, [], [], None, None
+                part = b.iloc[s:e]
+                asked = part["kind"].to_numpy() == 0
+                if asked.any():
+                    ids += part["id"][asked].tolist()
+                    vectors += part["v"][asked].to_list()
+                part = part[~asked]
+                if not len(part) or not ids:
+                    continue
+                if plain is None:  # a group's queries come first
+                    plain, alike = Best(len(ids), quota), Best(len(ids), quota)
+                    u = np.stack(vectors).astype(np.float64)
+                entry, crowd = part["id"].to_numpy(), part["v"].notna().to_numpy()
+                if crowd.any():
+                    full = np.stack(part["v"][crowd].to_list()).astype(np.float64)
+                    for q in range(len(ids)):
+                        alike.add(q, full @ u[q], entry[crowd])
+                if crowd.all():
+                    continue
+                one, scale = entry[~crowd], part["norm"].to_numpy()[~crowd]
+                code = np.frombuffer(b"".join(part["codes"][~crowd]), dtype=np.uint8).reshape(len(one), books).T.astype(np.intp)
+                # two books share one table of their sums: half the look-ups
+                pairs = [code[m] * n + code[m + 1] for m in range(0, books - odd, 2)]
+                for q in range(len(ids)):
+                    table = stacked @ u[q].astype(np.float32)  # books x words
+                    sums = (table[0 : books - odd : 2, :, None] + table[1::2, None, :]).reshape(len(pairs), -1)
+                    x = table[-1][code[-1]] if odd else np.zeros(len(one), dtype=np.float32)
+                    for t, at_ in zip(sums, pairs, strict=True):
+                        x += t[at_]
+                    plain.add(q, x * scale, one)
+        if plain:
+            yield result()
+
+    met = left.select(*cols).union(right.select(*cols)).repartition("q", "c").sortWithinPartitions("q", "c", "kind")
+    found = met.mapInPandas(scan, "query_id bigint, entry bigint, alike boolean, approx double")
     near = Window.partitionBy("query_id", "alike").orderBy(F.desc("approx"))
     chosen = found.withColumn("_r", F.rank().over(near)).where(F.col("_r") <= rerank).select("query_id", "entry").distinct()
     exact = chosen.join(codes.select("entry", "ids", "v"), "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")), "query_id")

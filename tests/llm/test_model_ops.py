@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,7 +227,7 @@ def test_pii_query(spark, nothing):
 def test_ann_recall_and_ties(spark, monkeypatch, blocks):
     if blocks:  # several blocks on both sides of the grid
         monkeypatch.setattr(ann, "BLOCK_QUERIES", blocks[0])
-        monkeypatch.setattr(ann, "BLOCK_CODES", blocks[1])
+        monkeypatch.setattr(ann, "STRIPE_CODES", blocks[1])
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -248,6 +249,30 @@ def test_ann_recall_and_ties(spark, monkeypatch, blocks):
     assert set(got["query_id"]) == set(range(0, 3000, 20)) and hits / total >= 0.9
 
 
+def test_ann_recall_with_few_reranked(spark):
+    """300 of 50,000 rows are scored exactly for a query: 0.6 % of the table."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    got = ann.search(df, every=500, train=8192).toPandas().groupby("query_id")["vec_id"].agg(set)
+    y = x.astype(np.float64)
+    hits = []
+    for q in range(0, len(x), 500):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9
+
+
+def test_ann_odd_vectors(spark):
+    """Infinite components, other lengths and a repeated id with two vectors."""
+    rows = [(0, [1.0, 0.0]), (1, [float("inf"), 1.0]), (2, [1.0]), (3, [0.5, 0.0]), (3, [2.0, 0.0]), (4, [float("-inf"), 0.0]), (5, []), (20, [0.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 2.0), (0, 2, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 3, 0.0)]
+
+
 def test_ann_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in ann.search(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
