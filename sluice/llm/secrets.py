@@ -78,7 +78,7 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     """
     cols = [c for c in blobs.columns if c != "text"]
     if ledger is not None:
-        known = ledger.groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("rule", "spans"))).alias("_known"))
+        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct("rule", "spans"))).alias("_known"))
         blobs = blobs.join(known, "sha", "left")
     else:
         blobs = blobs.withColumn("_known", F.lit(None).cast(f"map<string,{SPAN}>"))
@@ -117,17 +117,14 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("sha", F.sha2("text", 256))
     # the whole text is a grouping key: equal texts merge map-side, and a digest collision merges nothing
     blobs = rows.groupBy("sha", "text").agg(F.count(F.lit(1)).alias("n_paths"))
-    scanned = scan_blobs(blobs, ledger, rules)
+    # written before anything filters by findings: such a filter would move below the grouping and scan every copy
+    scanned = C.materialise(scan_blobs(blobs, ledger, rules), "secrets-scanned")
     found = F.lit(False)
     for i in range(len(rules)):
         found = found | (F.size(f"_s{i}") > 0)
-    findings = scanned.where(found) if ledger is None else scanned
     base = F.concat(*[F.col(f"_s{i}") for i, r in enumerate(rules) if r.base])
     every = F.concat(*[F.col(f"_s{i}") for i in range(len(rules))])
-    side = C.materialise(
-        findings.select("sha", "n_paths", *[F.size(f"_s{i}").cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(rules)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans")),
-        "secrets",
-    )
+    side = scanned.where(found).select("sha", "n_paths", *[F.size(f"_s{i}").cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(rules)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"))
     total = side.agg(F.coalesce(F.sum("n_paths"), F.lit(0))).first()[0]
     out = C.join_by_digest(rows.select("doc_id", "sha"), side, "sha", "n_paths", total, "doc_id")
     return out.select(
@@ -137,3 +134,19 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.col("sha").alias("blob_sha256"),
     ), scanned
+
+
+def scan_history(versions: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The first result of ``scan_versions`` for all rows, taken in as ``batches``
+    batches: each scans the pairs that the ledger of those before it has not seen."""
+    out = None
+    for i in range(batches):
+        found, scanned = scan_versions(versions.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == i), id_col, text_col, ledger, rules)
+        out = found if out is None else out.union(found)
+        if i + 1 < batches:
+            new = ledger_rows(scanned, rules)
+            ledger = new if ledger is None else ledger.union(new.join(ledger.select("sha", "rule"), ["sha", "rule"], "left_anti"))
+    return out
+
+
+C.ship(__name__)

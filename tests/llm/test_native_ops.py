@@ -44,6 +44,17 @@ def test_exact_dedup(docs, nothing):
     assert sorted(map(tuple, rows), key=order) == sorted(want, key=order)
     assert exact_dedup.exact_dedup(nothing).count() == 0
     assert exact_dedup.keep_unique(nothing).count() == 0
+    kept = exact_dedup.keep_unique(docs.withColumns({c: F.lit("clash") for c in ("_norm", "_row", "_kept_id", "_salt")}))
+    assert kept.columns[:3] == ["doc_id", "text", "kept"] and len(kept.columns) == len(docs.columns) + 4
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(4, ""), (5, "x " * 30_000), (7, "SAME TEXT"), (8, "Ünïcode É"), (None, "no id")], key=str)
+
+
+def test_keep_unique_repeated_rows_and_ids(spark):
+    """A row that is there twice stays once; an id of two texts keeps what each text keeps."""
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (3, "c"), (4, "c"), (None, "c"), (None, "d"), (None, "D")]
+    kept = exact_dedup.keep_unique(spark.createDataFrame(rows, EMPTY)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, "d"), (1, "a"), (3, "b"), (4, "c")]
 
 
 def test_exact_dedup_digest_collision(docs):
@@ -80,21 +91,34 @@ def test_secrets(spark, docs, nothing):
     assert secrets.scan_versions(nothing)[0].count() == 0
 
 
+def test_secrets_scan_only_unseen_blobs(spark):
+    """Copies are one blob before the scan, and a later batch scans new pairs only."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS * 3)], EMPTY).repartition(3)
+    found, scanned = secrets.scan_versions(df)
+    assert scanned.count() == len(set(SECRETS)) and found.count() == 3 * len(SECRETS)
+    plan = secrets.scan_blobs(df.select(F.sha2("text", 256).alias("sha"), "text").groupBy("sha", "text").count())._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    below = next(i for i, x in enumerate(lines) if x.lstrip(" :+-").startswith("Aggregate")) + 1
+    assert "regexp_extract_all" in "".join(lines[:below]) and "regexp_extract_all" not in "".join(lines[below:])  # no scan below the grouping
+    # the ledger of a first batch says something else of its blobs: the second batch believes it
+    first = spark.createDataFrame(list(enumerate(SECRETS[:4])), EMPTY)
+    ledger = secrets.ledger_rows(secrets.scan_versions(first)[1]).withColumn("spans", F.slice("spans", 1, 0))
+    again = {r["doc_id"]: r["spans"] for r in secrets.scan_versions(df, ledger=ledger)[0].collect()}
+    assert all(again[i] == "" if i % len(SECRETS) < 4 else again[i] == brute_secrets(t) for i, t in enumerate(SECRETS * 3))
+    # of a rule with a new version only that rule's pairs are unseen
+    newer = tuple(r._replace(version=2) if r.kind == "assign" else r for r in secrets.RULES)
+    redone = {r["doc_id"]: r["spans"] for r in secrets.scan_versions(df, ledger=ledger, rules=newer)[0].collect()}
+    assert all(redone[i] == ",".join(x for x in brute_secrets(SECRETS[i]).split(",") if x.startswith("assign")) for i in range(4))
+    whole = {r["doc_id"]: r["spans"] for r in secrets.scan_history(df, 3).collect()}
+    assert whole == {i: brute_secrets(t) for i, t in enumerate(SECRETS * 3)}
+
+
 def test_added_secrets_keep_base(spark):
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab0/" * 20 + "\n-----END RSA PRIVATE KEY-----"
     (row,) = secrets.scan_versions(spark.createDataFrame([(1, f"x {pem} token=abcdefgh ghp_{'a' * 30}")], EMPTY))[0].collect()
     assert row["n_pem"] == 1 and row["n_vcs"] == 1 and "assign:" in row["spans"]
 
 
-def test_edf_period_within_one_block():
-    for weights in ({"a": 1}, {"a": 500, "b": 300, "c": 200}, {"a": 991, "b": 3, "c": 3, "d": 3}, dict.fromkeys("abcdefg", 7)):
-        q, seen = sum(weights.values()), Counter()
-        for t, s in enumerate(mixing.edf_period(weights), 1):
-            seen[s] += 1
-            assert all(abs(seen[x] * q - w * t) < q for x, w in weights.items())
-        assert seen == weights
-
-
 def test_mixing(spark, docs, nothing):
     rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None)) for i in range(1000)] + [(5, "hot")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string")
@@ -103,26 +127,16 @@ def test_mixing(spark, docs, nothing):
     assert out["_position"].is_unique
     slots = out.groupby("_slot")["_stream"].agg(["first", "nunique"]).sort_index()
     assert list(slots.index) == list(range(len(slots))) and (slots["nunique"] == 1).all()
-    sizes = out["_stream"].value_counts()
-    weights = mixing.integer_weights({s: n**0.5 for s, n in sizes.items()})
-    left = {s: -(-n // 4) for s, n in sizes.items()}
-    seen = Counter()
-    for t, s in enumerate(slots["first"], 1):  # the first phase: all sources have blocks
-        seen[s] += 1
-        assert all(abs(seen[x] - w / 1000 * t) < 1 for x, w in weights.items())
-        if seen[s] == left[s]:
-            break
+    blocks = {s: -(-n // 4) for s, n in out["_stream"].value_counts().items()}
+    assert within_one_block(blocks, {s: n**0.5 for s, n in out["_stream"].value_counts().items()}, list(slots["first"]))
+    clash = mixing.mix(docs)
+    assert clash.columns.count("_slot") == 1 and dict(clash.dtypes)["_slot"] == "bigint" and {"_hash", "_bucket"}.isdisjoint(clash.columns)
+    odd = df.withColumns({"_hash": F.lit("mine"), "_row": F.lit(2), "_index": F.lit(None).cast("int")})
+    assert {tuple(r) for r in mixing.mix(odd).select("_hash", "_row", "_index").collect()} == {("mine", 2, None)}
     assert mixing.mix(docs).count() == len(ROWS)
     assert mixing.mix(nothing).count() == 0
 
 
-def test_mixing_plan_uses_every_block():
-    blocks = {"a": 37, "b": 5, "c": 1}
-    pieces = mixing.plan(blocks, mixing.integer_weights({"a": 1, "b": 1, "c": 8}, 10))
-    slots = [p.base + (j - p.first) // p.n * p.q + p.slots[(j - p.first) % p.n] for p in pieces for j in range(p.first, p.last)]
-    assert sorted(slots) == list(range(43))
-
-
 def shares(blocks, weights, slots):
     """Blocks that exact shares give, after each number of slots at which it is looked up."""
     order = sorted(blocks, key=lambda s: blocks[s] / weights[s])
@@ -161,6 +175,15 @@ def test_mixing_keeps_real_weights_over_many_blocks():
     assert within_one_block(blocks, weights, order, 97)
 
 
+def test_mixing_bounded_schedule(spark, monkeypatch):
+    """Null ids are spread and a schedule has a bounded number of blocks."""
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 50)
+    df = spark.createDataFrame([(None if i % 2 else i, f"s{i % 3}") for i in range(3000)], "doc_id bigint, source string")
+    out = mixing.mix(df, rows_per_bucket=100).toPandas()
+    assert len(out) == 3000 and out["doc_id"].isna().sum() == 1500 and out["_position"].is_unique
+    assert out["_slot"].nunique() <= 53 and out.groupby("_slot").size().max() <= 60
+
+
 def test_mixing_small_named_weight(spark):
     df = spark.createDataFrame([(i, "a" if i > 4 else "b") for i in range(4000)], "doc_id bigint, source string")
     out = mixing.mix(df, {"a": 1.0, "b": 0.0005}, block_docs=1).toPandas().sort_values("_slot")
@@ -220,7 +243,11 @@ def test_packing_round_trip(spark, docs, nothing):
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 2048
-    assert out["length"].sum() / (out["sequence_id"].nunique() * 2048) > 0.95
+    # a partition fills its windows as far as its tokens go, and together they would fill nearly as few
+    per = out.groupby(out["sequence_id"] // 2**33).agg(tokens=("length", "sum"), sequences=("sequence_id", "nunique"))
+    assert (per["sequences"] <= -(-per["tokens"] // 2048)).all()
+    one = packing.pack(df.coalesce(1), None, group_docs=50).toPandas()
+    assert one["length"].sum() / (one["sequence_id"].nunique() * 2048) > 0.95 and one["length"].sum() == out["length"].sum()
     assert set(out["doc_id"]) == set(range(len(texts)))
     assert packing.pack(docs, None).toPandas()["doc_id"].isna().sum() == 1
     assert packing.pack(nothing, None).count() == 0
