@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A key counts as hot when it holds more than 1 / HOT_KEYS of all rows, so at
 #: most HOT_KEYS keys are hot whatever the input: that bounds what is broadcast.
 HOT_KEYS = 10_000
+#: Ids that are sent by broadcast, at most (eight bytes each).
+BROADCAST_IDS = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,6 +102,16 @@ def join_by_digest(rows: DataFrame, side: DataFrame, key: str, size: str, total:
     return b.select(*rows.columns, *[F.when(F.col("_hit"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in cols])
 
 
+def without(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` but those whose id is in ``ids`` (one column); rows with a null id stay.
+
+    Up to BROADCAST_IDS ids are broadcast, more are shuffled with the rows."""
+    gone = materialise(ids.toDF("_gone").where("_gone is not null").distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    packed = rows.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    return packed.join(F.broadcast(gone) if few else gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+
+
 def once(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``rows`` without repeated rows of one id and text; rows with a null id stay.
 
@@ -108,9 +120,10 @@ def once(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not ids.take(1):
         return rows
     ids = materialise(ids.select("_again"), "repeated")
-    known = F.col(id_col) == F.col("_again")
-    unlike = rows.withColumn("_text", F.sha2(whole_text(text_col), 256)).join(ids, known, "left_semi").dropDuplicates([id_col, "_text"]).drop("_text")
-    return rows.join(ids, known, "left_anti").unionByName(unlike)
+    packed = rows.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.sha2(whole_text(text_col), 256).alias("_text"))
+    known = F.col("_id") == F.col("_again")
+    left = packed.join(ids, known, "left_anti").unionByName(packed.join(ids, known, "left_semi").dropDuplicates(["_id", "_text"]))
+    return left.select("_row.*")
 
 
 def ship(name: str) -> None:

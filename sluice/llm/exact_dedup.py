@@ -50,6 +50,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is kept, all columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, all columns: of equal texts the row with the largest id.
+
+    Of rows with one id and equal texts one stays, and of equal texts without
+    any id one. Where every id is there once, ids tell rows apart; else ids and
+    digests of the text do."""
+    verdict = exact_dedup(docs, id_col, text_col)
+    ids = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1 or doc_id is null").take(1):
+        return C.without(docs, id_col, verdict.where("not kept").select("doc_id"))
+    kept = verdict.where("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), sha256(C.ascii_lower(C.whole_text(text_col))).alias("_sha"))
+    left = rows.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi").dropDuplicates(["_id", "_sha"])
+    return left.select("_row.*")

@@ -6,9 +6,10 @@ deadline first fills one slot after another. t(v) is the number of slots after
 which sources in exact shares would have given min(blocks, w v) blocks each, so
 a source that runs dry leaves its share to the others. In each prefix of the
 mix every source is less than one block from its share. Weights are exact
-rationals: nothing is rounded. The driver schedules numbers of blocks, not
-rows, with one entry of eight bytes for each block; documents find the slots of
-their blocks by a join.
+rationals: nothing is rounded. The driver schedules blocks, not rows; a block
+has more documents where a mix would have more than MAX_BLOCKS of them, so the
+schedule is bounded and goes out by broadcast; documents find the slots of their
+blocks by a join.
 """
 
 from __future__ import annotations
@@ -18,97 +19,19 @@ from array import array
 from bisect import bisect_right
 from fractions import Fraction
 from math import lcm
-from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Slots of a period of ``integer_weights``, if not given.
-PERIOD = 1000
 #: Blocks of a source whose slots are one row of the schedule.
 CHUNK = 1024
-#: Schedules of at most this many blocks are broadcast, longer ones shuffled.
-BROADCAST_BLOCKS = 1 << 21
+#: Blocks of a schedule, besides one for each source: 16 MB of slots.
+MAX_BLOCKS = 1 << 21
 #: The stream of the sources that ``weights`` does not name.
 REST = "\x00rest"
-
-
-def edf_period(weights: dict[str, int]) -> list[str]:
-    """One period of sum(weights) slots: earliest deadline first of the released blocks."""
-    q = sum(weights.values())
-    due = lambda s, j: -(-(j + 1) * q // weights[s])  # noqa: E731  ceil((j + 1) q / w)
-    waiting = [(0, due(s, 0), s, 0) for s in sorted(weights)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(q):
-        while waiting and waiting[0][0] <= t:
-            _, d, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (d, s, j))
-        d, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < weights[s]:
-            heapq.heappush(waiting, ((j + 1) * q // weights[s], due(s, j + 1), s, j + 1))
-    return out
-
-
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Largest-remainder rounding to integers that sum to ``period``, at least 1 each."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    i = 0
-    while sum(out.values()) < period:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
-
-
-class Piece(NamedTuple):
-    """Blocks first..last-1 of a source in one phase: block first + p * n + k has
-    the slot base + p * q + slots[k]."""
-
-    stream: str
-    first: int
-    last: int
-    base: int
-    q: int
-    n: int
-    slots: list[int]
-
-
-def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Piece]:
-    """All phases, until every source is dry; at most one phase per source."""
-    left, done, base, out = {s: b for s, b in blocks.items() if b > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        active = {s: weights[s] for s in left}
-        q, order = sum(active.values()), edf_period(active)
-        whole = min(left[s] // active[s] for s in active)
-        # after the whole periods, slots go on until a source has no block for its slot
-        rest, used, cut = {s: left[s] - whole * active[s] for s in active}, dict.fromkeys(active, 0), 0
-        for s in order:
-            if used[s] == rest[s]:
-                break
-            used[s] += 1
-            cut += 1
-        slots: dict[str, list[int]] = {s: [] for s in active}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-        for s in active:
-            n = whole * active[s] + used[s]
-            if n:
-                out.append(Piece(s, done[s], done[s] + n, base, q, active[s], slots[s]))
-            done[s] += n
-            left[s] -= n
-        base += whole * q + cut
-        left = {s: b for s, b in left.items() if b}
-    return out
+RESULT = ("_stream", "_block", "_slot", "_position")
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
@@ -166,8 +89,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     own weight; only those that ``weights`` does not name share one stream. No
     row is dropped or repeated: a source that runs dry leaves the mix and the
     rest goes on. Within a source the order is by a hash of the id, then the id.
-    Null sources form a source of their own, null ids come in any order among
-    themselves, repeated rows are scheduled each, and an empty table stays empty.
+    Null sources form a source of their own, null ids come in any order,
+    repeated rows are scheduled each, and an empty table stays empty. A column
+    of ``docs`` with the name of a result gives way to it; texts may be null,
+    empty or of any length, they are not looked at.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
@@ -177,18 +102,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     if rest := total - sum(sizes.values()):
         sizes[REST] = rest
+    block_docs = max(block_docs, -(-total // MAX_BLOCKS))
     share = {s: (weights or {}).get(s, min((weights or {1: 1}).values())) if weights else n**0.5 for s, n in sizes.items()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
-    chunks = [(s, c // CHUNK, x[c : c + CHUNK]) for s, x in schedule(blocks, share).items() for c in range(0, len(x), CHUNK)]
-    columns = [pa.array([c[0] for c in chunks], pa.string()), pa.array([c[1] for c in chunks], pa.int64()), pa.array([c[2] for c in chunks], pa.list_(pa.int64()))]
-    table = C.materialise(spark.createDataFrame(pa.table(columns, names=["_ps", "_chunk", "_slots"])), "mixing-slots")
+    chunks = [(s, c // CHUNK, x[c : c + CHUNK].tolist()) for s, x in schedule(blocks, share).items() for c in range(0, len(x), CHUNK)]
+    table = C.materialise(spark.createDataFrame(chunks, "_ps string, _chunk bigint, _slots array<bigint>"), "mixing-slots")
 
     named = F.lit(True) if weights is None else name.isin(list(weights))
     buckets = max(1, -(-total // rows_per_bucket))
-    rows = docs.withColumn("_stream", F.when(named, name).otherwise(F.lit(REST))).withColumn("_hash", F.xxhash64(F.lit(7), F.col(id_col)))
+    # the input's columns travel in one struct, so no name of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("_row"), F.when(named, name).otherwise(F.lit(REST)).alias("_stream"), F.col(id_col).alias("_id"))
+    rows = rows.withColumn("_hash", F.when(F.col("_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.lit(7), "_id")))
     # unsigned buckets of the hash, so that buckets follow the order within a source
     rows = rows.withColumn("_bucket", F.floor((F.col("_hash").cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("bigint"))
-    inside = Window.partitionBy("_stream", "_bucket").orderBy("_hash", id_col)
+    inside = Window.partitionBy("_stream", "_bucket").orderBy("_hash", "_id")
     numbered = rows.withColumn("_rank", F.row_number().over(inside) - 1)
     # how many rows of the source come before a bucket: prefix sums in two levels
     per = rows.groupBy("_stream", "_bucket").count().withColumn("_group", F.expr(f"_bucket div {max(1, int(buckets ** 0.5))}"))
@@ -198,11 +125,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     before = per.withColumn("_near", F.coalesce(F.sum("count").over(near), F.lit(0))).join(groups, ["_stream", "_group"]).select("_stream", "_bucket", (F.col("_near") + F.col("_far")).alias("_before"))
     index = F.col("_before") + F.col("_rank")
     placed = numbered.join(before, ["_stream", "_bucket"]).withColumn("_index", index).withColumn("_block", F.expr(f"_index div {block_docs}"))
-    table = F.broadcast(table) if sum(blocks.values()) <= BROADCAST_BLOCKS else table
-    joined = placed.join(table, (F.col("_stream") == F.col("_ps")) & (F.expr(f"_block div {CHUNK}") == F.col("_chunk")))
+    joined = placed.join(F.broadcast(table), (F.col("_stream") == F.col("_ps")) & (F.expr(f"_block div {CHUNK}") == F.col("_chunk")))
     slot = F.expr(f"get(_slots, cast(_block % {CHUNK} as int))")
     out = joined.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block_docs + F.col("_index") % block_docs)
-    return out.select(*docs.columns, "_stream", "_block", "_slot", "_position")
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in RESULT], *RESULT)
 
 
 C.ship(__name__)

@@ -46,8 +46,6 @@ BLOCK = 2048
 SET_BLOCK = 256
 #: Pairs of members whose collisions are counted at a time.
 PAIRS = 1 << 20
-#: Nodes of at most this many are sent by broadcast (eight bytes each) to pick their texts.
-BROADCAST_NODES = 1 << 20
 _SEED = np.random.default_rng(20240229)
 MULTIPLY = _SEED.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _SEED.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -349,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         for t in texts:
             new = new.join(t.select("node"), "node", "left_anti")
         new = C.materialise(new.join(classes, "node").select("node", F.col("rep").alias("doc_id"), "at"), "near-wanted")
-        few = new.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        few = new.limit(C.BROADCAST_IDS + 1).count() <= C.BROADCAST_IDS
         found = rows.join(F.broadcast(new) if few else new, ["doc_id", "at"]).select("node", "text").dropDuplicates(["node"])
         texts.append(C.materialise(found, "near-texts"))
         C.discard(new)
@@ -407,9 +405,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
 
     Rows with a null id cannot be told apart and stay. Of rows with one id and
     equal texts one stays; different texts under one id stay both."""
-    dropped = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped_id"))
-    left = docs.join(dropped.where("_dropped_id is not null").distinct(), F.col(id_col) == F.col("_dropped_id"), "left_anti")
-    return C.once(left, id_col, text_col)
+    dropped = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept and doc_id is not null").select("doc_id")
+    return C.once(C.without(docs, id_col, dropped), id_col, text_col)
 
 
 C.ship(__name__)

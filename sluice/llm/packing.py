@@ -6,6 +6,7 @@ merges the partial partitions with the largest imbalances, the fullest window
 of one with the emptiest of the other. When a window would exceed the capacity,
 the window count rises. A group is a bounded number of documents of one input
 partition, so there is no shuffle, memory is bounded and a lost task is redone alone.
+What does not fill a window goes on into the next group of the partition.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,10 @@ END = 1
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Pieces of the documents that are cut small, to even out windows.
 SMALL = 32
+#: Windows of a group that others follow are filled so far; the rest waits for those.
+FILL = 0.997
+#: Strings on which the short ways of ``Words`` must agree with the tokenizer, if they are to be used.
+PROBES = ("Hello World", "it's  A-b c.d?! x", "ÀÉ çà ñandú", "日本語 ß É é 12a 3.5", "a\tb\nc\r\n d\x0be\x0cf", " lead and trail ", "\u00a0x\u2003y", "don't STOP now;;", "aaaaaaaaaaaaaaaaaaaaaaaa", "x_y __z", "😀 ok")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -87,28 +95,52 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     return []
 
 
-def cut(tokens: list[int], capacity: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Full windows and what is left, as (document, start, length).
+class Piece(NamedTuple):
+    """``length`` ids of a document from ``start`` on: its id, its bytes."""
+
+    doc: int | None
+    data: bytes
+    start: int
+    length: int
+
+    def row(self, sequence: int, offset: int) -> tuple:
+        crc = zlib.crc32(memoryview(self.data)[4 * self.start : 4 * (self.start + self.length)])
+        return self.doc, self.start, self.length, crc, len(self.data) // 4, sequence, offset
+
+
+def cut(docs: list[tuple[int | None, bytes]], capacity: int) -> tuple[list[Piece], list[Piece]]:
+    """Full windows and what is left.
 
     Of the leftovers a few, about a sixteenth of their tokens, are cut into
     pieces of SMALL, without which a handful of long pieces could not fill a
     window evenly.
     """
     full, left = [], []
-    for d, n in enumerate(tokens):
-        full += [(d, s, capacity) for s in range(0, n - capacity + 1, capacity)]
+    for d, x in docs:
+        n = len(x) // 4
+        full += [Piece(d, x, s, capacity) for s in range(0, n - capacity + 1, capacity)]
         if n % capacity:
-            left.append((d, n - n % capacity, n % capacity))
-    total, small, out = sum(x[2] for x in left), 0, []
-    for i, (d, s, n) in enumerate(left):
-        if n > SMALL and (small < total * (i + 1) / len(left) / 16):
-            out += [(d, s + o, min(SMALL, n - o)) for o in range(0, n, SMALL)]
-            small += n
+            left.append(Piece(d, x, n - n % capacity, n % capacity))
+    total, small, out = sum(p.length for p in left), 0, []
+    for i, p in enumerate(left):
+        if p.length > SMALL and (small < total * (i + 1) / len(left) / 16):
+            out += [p._replace(start=p.start + o, length=min(SMALL, p.length - o)) for o in range(0, p.length, SMALL)]
+            small += p.length
         else:
-            out.append((d, s, n))
+            out.append(p)
     return full, out
 
 
+def whole_windows(pieces: list[Piece], capacity: int) -> tuple[list[Piece], list[Piece]]:
+    """The first pieces, as many as fill whole windows, and the rest."""
+    room, held = int(sum(p.length for p in pieces) // capacity * capacity * FILL), 0
+    for i, p in enumerate(pieces):
+        if held + p.length > room:
+            return pieces[:i], pieces[i:]
+        held += p.length
+    return pieces, []
+
+
 #: Latin letters and then marks: strings whose lower case is the same in every
 #: version of Unicode, that NFC keeps, and that the tokenizer splits in two.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*&$#%]*)")
@@ -132,15 +164,19 @@ class Words(dict):
         self.model = tokenizer.model
         self.letters = byte_letters()
         self.runs: dict[str, bytes] = {}
+        self.short = True
 
     @staticmethod
     def of(path: str) -> Words:
-        """One instance for a worker process and tokenizer file, kept between tasks."""
+        """One instance for a worker process and tokenizer file, kept between tasks
+        in a module of its own: those of this package come anew with each task."""
         import tokenizers
 
-        kept = tokenizers.__dict__.setdefault("_words", {})
+        kept = vars(sys.modules.setdefault("_sluice_worker", ModuleType("_sluice_worker")))
         if path not in kept:
-            kept[path] = Words(tokenizers.Tokenizer.from_file(path))
+            words = Words(tokenizers.Tokenizer.from_file(path))
+            words.short = all(words.ids(t) == words.whole(t) for t in PROBES)
+            kept[path] = words
         return kept[path]
 
     def whole(self, text: str) -> bytes:
@@ -174,20 +210,22 @@ class Words(dict):
         """The tokenizer splits at white space and never looks across it, so a
         text's ids are those of its strings between white space in turn.
         str.split also splits at four control characters that the tokenizer
-        keeps; texts with them go to the tokenizer whole."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        keeps; texts with them go to the tokenizer whole, and so do all texts
+        if the tokenizer is of another kind."""
+        if not self.short or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 400, group_bytes: int = 64 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 400, group_bytes: int = 64 << 20, carry: bool = True) -> DataFrame:
     """One row per piece: SCHEMA.
 
     A document is its text's ids and END; a null text counts as empty, so it is
     END alone. ``offset`` is gapless from 0 within a sequence. Null ids are
     carried through; repeated rows are packed each; an empty table gives no
     piece; other columns are ignored. ``tokenizer_path`` must exist on executors;
-    None asks the public tokenizer files for theirs.
+    None asks the public tokenizer files for theirs. Without ``carry`` each group
+    closes its last window, so that no sequence holds documents of two groups.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,48 +239,37 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
         words = Words.of(path)
         end = np.asarray([END], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
-        ids: list[int | None] = []
-        data: list[bytes] = []
-        held = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal sequence, held
-            tokens = [len(b) // 4 for b in data]
-            full, left = cut(tokens, capacity)
-            rows = [(*p, sequence + i, 0) for i, p in enumerate(full)]
-            sequence += len(full)
-            for part in windows([p[2] for p in left], capacity):
+        group: list[tuple[int | None, bytes]] = []
+        held, waiting = 0, []
+
+        def flush(last: bool) -> pd.DataFrame:
+            nonlocal sequence, held, waiting
+            full, left = cut(group, capacity)
+            left, waiting = waiting + left, []
+            if carry and not last:
+                left, waiting = whole_windows(left, capacity)
+            rows = []
+            for part in [[p] for p in full] + [[left[i] for i in w] for w in windows([p.length for p in left], capacity)]:
                 at = 0
-                for i in part:
-                    rows.append((*left[i], sequence, at))
-                    at += left[i][2]
+                for p in part:
+                    rows.append(p.row(sequence, at))
+                    at += p.length
                 sequence += 1
-            out = pd.DataFrame(
-                {
-                    "doc_id": pd.array([ids[r[0]] for r in rows], dtype="Int64"),
-                    "start": [r[1] for r in rows],
-                    "length": [r[2] for r in rows],
-                    "ids_crc32": [zlib.crc32(memoryview(data[r[0]])[4 * r[1] : 4 * (r[1] + r[2])]) for r in rows],
-                    "doc_tokens": [tokens[r[0]] for r in rows],
-                    "sequence_id": [r[3] for r in rows],
-                    "offset": [r[4] for r in rows],
-                }
-            )
-            ids.clear()
-            data.clear()
+            group.clear()
             held = 0
-            return out
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+            return pd.DataFrame({n: pd.array(c, dtype="Int64") for n, c in zip(names, columns, strict=True)})
 
         for b in batches:
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 x = words.ids(t) + end
-                ids.append(None if pd.isna(d) else int(d))
-                data.append(x)
+                group.append((None if pd.isna(d) else int(d), x))
                 held += len(x)
-                if len(data) >= group_docs or held >= group_bytes:
-                    yield flush()
-        if data:
-            yield flush()
+                if len(group) >= group_docs or held >= group_bytes:
+                    yield flush(False)
+        if group or waiting:
+            yield flush(True)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
