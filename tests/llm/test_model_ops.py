@@ -1,7 +1,11 @@
 """Near-duplicates, toxicity, page text, personal data and nearest neighbours."""
 
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from sluice.llm import ann, html_text, near_dedup, pii, toxicity
 
 EMPTY = "doc_id bigint, text string"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +164,71 @@ def test_host_substrings_count_distinct_pages():
     assert got == brute and max(got.values()) == 3
 
 
+def test_repeats_of_any_length_are_covered():
+    """A token goes if it lies in a substring of GRAM tokens or more that is on three pages."""
+    rnd = random.Random(4)
+    runs = [[f"r{k}.{i}" for i in range(n)] for k, n in enumerate((4, 6, 7, 13, 30))]
+    pages = []
+    for p in range(9):
+        t = [f"u{p}.{i}" for i in range(rnd.randint(3, 12))]
+        for run in rnd.sample(runs, 3):
+            at, cut = rnd.randint(0, len(t)), rnd.randint(0, 3)
+            t[at:at] = run[cut:]
+        pages.append(t)
+    where = {}  # every substring of GRAM tokens and more, of any length, and the pages it is on
+    for p, t in enumerate(pages):
+        for i in range(len(t)):
+            for j in range(i + html_text.GRAM, len(t) + 1):
+                where.setdefault(tuple(t[i:j]), set()).add(p)
+    counts = html_text.host_substrings([[" ".join(t)] for t in pages])
+    boilerplate = {g for g, n in counts.items() if n >= 3}
+    for t in pages:
+        gone = set()
+        for i in range(len(t)):
+            for j in range(i + html_text.GRAM, len(t) + 1):
+                if len(where[tuple(t[i:j])]) >= 3:
+                    gone |= set(range(i, j))
+        want = " ".join(w for i, w in enumerate(t) if i not in gone)
+        assert html_text.uncovered([" ".join(t)], boilerplate) == ([want] if want else [])
+    assert boilerplate
+
+
+def test_doubtful_parts_of_articles_are_decided_by_the_host(spark):
+    """Inside an article a related or share box stays unless the host's pages repeat it."""
+    share = "share this story with your friends on every network now"
+    body = "<article><p>story {0}</p><div class='related'>a background of matter {0} that no other page tells</div><div class='share-bar'>" + share + "</div><div class='advert'>buy {0}</div></article>"
+    rows = [(i, f"http://h.x/{i}", SHELL.format(body.format(i))) for i in range(5)] + [(9, "http://o.x/", SHELL.format(body.format(9)))]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(out[i] == f"story {i} a background of matter {i} that no other page tells" for i in range(5))
+    assert out[9] == f"story 9 a background of matter 9 that no other page tells {share}"
+
+
+def test_long_pages_without_article(spark):
+    """Whole texts: a page of 60,000 tokens loses its menu only."""
+    menu = "home news sport weather travel money culture contact imprint"
+    rows = [(i, f"http://h.x/{i}", f"<div>{menu}</div><div>{' '.join(f'w{i}.{j}' for j in range(60_000 if i == 2 else 30))}</div>") for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(out[i] == " ".join(f"w{i}.{j}" for j in range(60_000 if i == 2 else 30)) for i in range(4))
+
+
+def test_workers_need_no_repository(tmp_path):
+    """Workers that cannot import this package run the operators with Python code."""
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()
+from sluice.llm import ann, html_text, near_dedup, packing, pii, toxicity
+pages = spark.createDataFrame([(1, 'http://a.b/c', '<article>x<div class="share">y</div></article>'), (2, 'http://a.b/d', '<p>z</p>')], 'page_id bigint, url string, html string')
+docs = spark.createDataFrame([(i, 'a b c d e ' * 3 + str(i % 2)) for i in range(6)], 'doc_id bigint, text string')
+labels = spark.createDataFrame([(i, i % 2) for i in range(6)], 'doc_id bigint, toxic int')
+vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], 'vec_id bigint, embedding array<double>')
+print('ROWS', html_text.extract_text(pages).count(), near_dedup.near_duplicates(docs).count(), packing.pack(docs, None).count() > 0, pii.find_pii(docs).count(), toxicity.toxicity(docs, labels).count(), ann.search(vectors).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 2 6 True 6 6 60" in done.stdout, done.stderr[-2000:]
+
+
 def test_odd_markup_ends():
     for h in ("<", "<a href='x>y", "<!-- x", "<script>1", "<p>a</b></i></p>" * 50, "<div " * 1000, "a" * 200_000, "<x y=\"" * 2000):
         html_text.zoned(h)
