@@ -75,3 +75,27 @@ def test_sequences_follow_the_mix_over_files(spark, tmp_path, monkeypatch):
     assert len(got) == 2400
     # a group holds 400 documents: those further apart are in sequences in the order of the mix
     assert all(max(last[: i + 1]) < min(first[i + 400 :]) for i in range(0, 2000, 50))
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns, and no rows at all."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(None, None, None, None, None), (1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (2, None, "en", None, None), (3, "x " * 20_000, None, "s", 40_000), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (4, "", "en", "s", 0)]
+    for name, data in (("odd", rows), ("empty", [])):
+        path = f"{tmp_path}/{name}"
+        table = spark.createDataFrame(data, schema)
+        table.selectExpr("*", *[f"'clash' AS {c}" for c in ("_row", "_id", "_slot", "kept", "comp", "_gone", "sequence_id")]).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (None, None, None), (3, 1, None)] if data else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs, seen = spark.read.parquet(f"{path}/documents.parquet"), []
+        for stage, f in P.STAGES:
+            docs = f(spark, docs, path)
+            if stage != "packing":
+                assert docs.columns == COLUMNS
+                docs = spark.createDataFrame(docs.collect(), docs.schema)
+                seen.append(sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in docs.collect()))
+        if data:
+            # the largest id of the empty texts stays, a repeated row and an unnamed text stay once
+            assert len(seen[0]) == len(rows) and seen[1] == seen[2] == seen[3] == [("1", "a b c"), ("3", "x x x"), ("4", ""), ("None", "no id")]
+            assert {str(r["doc_id"]) for r in docs.collect()} <= {"1", "3", "4", "None", "<NA>"} and docs.where("start = 0").count() == 4
+        else:
+            assert docs.count() == 0 and not any(seen)
