@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed sequences, in five stages.
 
 Each stage works on all that the one before kept; its rows are written as
-Parquet and read again as the next one's input.
+Parquet and read again as the next one's input. All but the last return COLUMNS;
+further columns of ``documents``, whatever their names, are left behind by the first.
 """
 
 from __future__ import annotations
@@ -20,19 +21,22 @@ PART_DOCS = 4000
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not reject; the model is fitted on the labels
-    of the training fold of these documents."""
+    of the training fold of these documents. A null text counts as empty and a null
+    id as unlabelled; without labels of both kinds, or without rows, nothing is rejected."""
     rows = docs.select(F.col("doc_id"), C.whole_text("text").alias("text"))
     model = tox.fit(rows, C.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")))
     return tox.keep_clean(docs, model).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id, once where its row is repeated.
+    A null text equals an empty one; of texts without any id one row stays."""
     return exact_dedup.keep_unique(docs).select(*COLUMNS)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+    Texts without words and rows without an id are no near-duplicates and stay."""
     return near_dedup.keep_one(docs).select(*COLUMNS)
 
 
@@ -42,7 +46,8 @@ def _in_order(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files and rows follow the schedule."""
+    """All documents, in the order of the mix: files and rows follow the schedule.
+    Null sources are a source of their own; repeated rows and null ids are all mixed."""
     return _in_order(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -51,9 +56,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Spark reads files in an order of its own, so the mix is computed again from
     ids and sources: each packing group, and each prefix of whole groups, has
-    the target weights."""
+    the target weights. A null text is its end token alone; no rows, no pieces."""
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS))
-    return packing.pack(_in_order(docs, max(1, parts)), None)
+    return packing.pack(_in_order(docs, max(1, parts)), None, carry=False)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", dedup), ("near_dedup", near_dup), ("mixing", mix), ("packing", pack)]
