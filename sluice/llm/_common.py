@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 10_000
 #: Ids that are sent by broadcast, at most (eight bytes each).
 BROADCAST_IDS = 1 << 20
+ARROW_BYTES = "4m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python workers in batches of ARROW_BYTES, unless the session sets a size itself.
+
+    Spark's own limits are 10,000 rows and 64 MB, and a worker holds a batch more than once."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "64m", "67108864b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -45,7 +45,7 @@ ROUNDS = 2
 BLOCK = 2048
 SET_BLOCK = 256
 #: Pairs of members whose collisions are counted at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 _SEED = np.random.default_rng(20240229)
 MULTIPLY = _SEED.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _SEED.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -54,7 +54,7 @@ ADD = _SEED.integers(0, 2**63, COORDS, dtype=np.uint64)
 class WordHash(dict):
     """64-bit hashes of words; bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     id. Repeated rows are reported each, as are different texts under one id.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("at"), "text")
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("at"), "text")
     prep = C.materialise(prepare(rows, shingle), "near-prep")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "at"))).alias("first")
     classes = prep.where("n_shingles > 0").groupBy("set_key", F.col("n_shingles").alias("n"), "sig").agg(first, F.count(F.lit(1)).alias("size"), F.first("bytes").alias("bytes"))

@@ -157,7 +157,7 @@ def byte_letters() -> dict[int, str]:
 class Words(dict):
     """Ids of a white-space-free string, as little-endian bytes; bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
@@ -271,7 +271,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None, capacity: int = 2048, id_c
         if group or waiting:
             yield flush(True)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
 C.ship(__name__)

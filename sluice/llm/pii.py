@@ -262,7 +262,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             found = [[{"start": s, "end": e, "kind": KINDS[k], "base": k < len(BASE)} for s, k, e in find_spans(t, trees)] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "found": found})
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id bigint, found array<struct<start:bigint,end:bigint,kind:string,base:boolean>>")
 
 

@@ -149,7 +149,7 @@ def fit_bags(bags: list[tuple[int, list[list[int]], int]], words: list[str], ste
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    train = C.materialise(sample(docs, labels, most), "toxic-sample")
+    train = C.materialise(sample(C.small_batches(docs), labels, most), "toxic-sample")
     words = choose_words(train)
     index = {w: i for i, w in enumerate(words)}
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 spans.append([{"start": s, "end": e, "score": p} for s, e, w in found if (p := model.sentence(w)) >= threshold])
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": scores, "sentences": spans})
 
-    return docs.mapInPandas(run, "doc_id bigint, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
+    return C.small_batches(docs).mapInPandas(run, "doc_id bigint, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -196,7 +196,7 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pd.Series([document_score(model, *bag(t, vocabulary)) for t in texts])
 
-    return docs.where(F.pandas_udf(run, "double")(C.whole_text(text_col)) < threshold)
+    return C.small_batches(docs).where(F.pandas_udf(run, "double")(C.whole_text(text_col)) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
