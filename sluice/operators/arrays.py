@@ -46,6 +46,11 @@ def partition(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(yes), df.where(~yes)
 
 
+def flag_partition(df: DataFrame, predicate: Column, name: str = "matched") -> DataFrame:
+    """Both sides in one scan: all rows, with a boolean of the side; null is false."""
+    return df.withColumn(name, F.coalesce(predicate, F.lit(False)))
+
+
 def flat_map(df: DataFrame, items: Column, name: str = "item") -> DataFrame:
     """One row per element, with its position."""
     return df.select("*", F.posexplode(items).alias(f"{name}_index", name))
@@ -56,6 +61,11 @@ def contains(df: DataFrame, value: Column, others: DataFrame, other: str) -> Dat
     return df.join(others.select(F.col(other).cast("string").alias("_o")).distinct(), value.cast("string") == F.col("_o"), "left_semi")
 
 
+def lacks(df: DataFrame, value: Column, others: DataFrame, other: str) -> DataFrame:
+    """Rows whose value does not occur in another dataset; a null value occurs nowhere."""
+    return df.join(others.select(F.col(other).cast("string").alias("_o")).distinct(), value.cast("string") == F.col("_o"), "left_anti")
+
+
 def chunk(df: DataFrame, size: int, partition_by: list[str], order: list[str]) -> DataFrame:
     """``chunk`` numbers within each partition of rows."""
     n = F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order)) - 1

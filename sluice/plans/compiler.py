@@ -1028,11 +1028,14 @@ def instant(x: Val, formats: list[str] | None, zone: str | None) -> tuple[Column
     if not isinstance(x.type, T.StringType):
         raise NotTyped("a date that is not text")
     if formats is None:
-        formats = list(dates.WITHOUT_ZONE)
+        # one look at the shape, one cast: dashes for slashes and for none at all
         iso = x.col.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:?\d{2})$")
-        zoned = F.when(iso, F.try_to_timestamp(F.regexp_replace(F.regexp_replace(x.col, "[Tt]", " "), r"([+-]\d{2})(\d{2})$", "$1:$2")))
-    else:
-        zoned = None
+        zoned = F.when(iso, F.regexp_replace(F.regexp_replace(x.col, "[Tt]", " "), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+        dashed = F.when(F.length(x.col) == 8, F.regexp_replace(x.col, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(F.translate(x.col, "/", "-"))
+        local = F.when(x.col.rlike(dates.COMMON), dashed.try_cast("timestamp"))
+        if zone and zone != "+00:00":
+            local = F.to_utc_timestamp(local, zone)
+        return F.when(iso, zoned).otherwise(local), True
     reads = []
     for f in formats:
         if "%z" in f or "%:z" in f:
@@ -1048,7 +1051,7 @@ def instant(x: Val, formats: list[str] | None, zone: str | None) -> tuple[Column
     local = F.coalesce(*reads)
     if zone and zone != "+00:00":
         local = F.to_utc_timestamp(local, zone)
-    return local if zoned is None else F.coalesce(zoned, local), True
+    return local, True
 
 
 def date_text(c: Context, x: Val, args: list[Val]) -> Val:

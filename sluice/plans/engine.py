@@ -6,6 +6,7 @@ plain columns, so filters and the columns that are read reach the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
@@ -23,6 +24,8 @@ from .ast import All, Assert, Branch, Call, Compare, Finalize, Lit, Mapping, Map
 from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number, cast_value, choose, compile_cond, compile_expr, compile_steps, constant, either, elements, error, errors_of, failed, is_null, native, of_column, str_arg, struct, text_of, tree_value, unify, value
 
 MODES = ("strict", "quarantine", "null")
+#: The place of a record in the input, while lookups are joined.
+ORDER = "_sluice_order"
 
 
 class Result:
@@ -37,6 +40,10 @@ class Builder:
 
     def __init__(self, df: DataFrame, context: Any) -> None:
         self.df = df
+        #: joins of lookups, in the order in which they were met: (matches, key, name)
+        self.pending: list[tuple[Callable[[], DataFrame], Column, str]] = []
+        #: first matches by frame, key and wanted value: their name and the fields that are read
+        self.shared: dict[tuple, tuple[str, dict[str | None, str]]] = {}
         self.frames = {k: v for k, v in context.items() if isinstance(v, DataFrame)} if isinstance(context, dict) else {}
         self.context = {k: v for k, v in context.items() if k not in self.frames} if isinstance(context, dict) else context
         self.columns = {f.name: f.dataType for f in df.schema.fields}
@@ -82,6 +89,8 @@ class Builder:
         w = compile_expr(want, s)
         ref = source if isinstance(source, Ref) and source.ns == "context" else s.pipe.literal if source is None and s.pipe is not None else None
         if isinstance(ref, Ref) and len(ref.path) == 1 and ref.path[0] in self.frames:
+            if first:
+                return self._first_of_frame(ref.path[0], key_name, get_name, w, e.version)
             return self._join(self._frame_side(ref.path[0], key_name, get_name, e.version), first, w, e.version)
         items = get_path(self.context, ref.path) if isinstance(ref, Ref) and self.context is not MISSING else ref if isinstance(ref, list) else None
         if isinstance(items, list):
@@ -101,12 +110,54 @@ class Builder:
         df = self.frames[name]
         types = {f.name: f.dataType for f in df.schema.fields}
         item = struct({k: of_column(F.col(f"`{k}`"), t) for k, t in sorted(types.items())}) if get is None else of_column(F.col(f"`{get}`"), types[get])
+        df, kt, order = self._keyed(name, key, version, get is not None)
+        return L.side_of_frame(df, "_lookup_key", item.col, order), kt, item.type
+
+    def _keyed(self, name: str, key: str, version: int, known: bool) -> tuple[DataFrame, T.DataType, list[str] | None]:
+        df = self.frames[name]
+        types = {f.name: f.dataType for f in df.schema.fields}
         k = of_column(F.col(f"`{key}`"), types[key])
         kc, kt = (text_of(k, 1), STRING) if version == 1 else (k.col, k.type)
-        order = [c for c in ("_ordinal",) if c in types] or None
-        if version == 1 and get is not None:
+        if version == 1 and known:
             df = df.where(F.col(f"`{key}`").isNotNull())
-        return L.side_of_frame(df.withColumn("_lookup_key", kc), "_lookup_key", item.col, order), kt, item.type
+        return df.withColumn("_lookup_key", kc), kt, [c for c in ("_ordinal",) if c in types] or None
+
+    def _first_of_frame(self, name: str, key: str, get: str | None, want: Val, version: int) -> Val:
+        """A field of the first match; all fields of one match come from one join."""
+        types = {f.name: f.dataType for f in self.frames[name].schema.fields}
+        item = lambda g: struct({k: of_column(F.col(f"`{k}`"), t) for k, t in sorted(types.items())}) if g is None else of_column(F.col(f"`{g}`"), types[g])
+        keyed, kt, order = self._keyed(name, key, version, get is not None)
+        w = self._wanted(want, kt, version)
+        at = (name, key, version, get is None, repr(w))
+        if "lambda" in at[-1] or at not in self.shared:  # the names of lambda variables are not the same twice
+            self.joins += 1
+            fields: dict[str | None, str] = {}
+            self.shared[at] = f"_lookup{self.joins}", fields
+
+            def matches() -> DataFrame:
+                values = F.struct(*[item(g).col.alias(f) for g, f in fields.items()])
+                return L.first_match(L.side_of_frame(keyed, "_lookup_key", values, order))
+
+            self.pending.append((matches, w, self.shared[at][0]))
+        hit, fields = self.shared[at]
+        field = fields.setdefault(get, f"f{len(fields)}")
+        return Val(F.col(hit)["value"][field], item(get).type, F.col(hit).isNull(), self._want_errors(want, version))
+
+    @staticmethod
+    def _wanted(want: Val, kt: T.DataType, version: int) -> Column:
+        w = text_of(want, 1) if version == 1 else want.col.cast(kt)
+        return w if want.missing is None else F.when(~want.missing, w)
+
+    @staticmethod
+    def _want_errors(want: Val, version: int) -> tuple[Error, ...]:
+        return (*want.errors, *([error(is_null(want), "lookup match must not be null")] if version == 1 else []))
+
+    def attached(self) -> DataFrame:
+        """The input with all lookups, each joined after those that it may read."""
+        df = self.df
+        for matches, want, name in self.pending:
+            df = L.attach(df, matches(), want, name)
+        return df
 
     def _list_side(self, items: list, key: str, get: str | None, want: Val, version: int, first: bool) -> tuple[L.Side, T.DataType, T.DataType]:
         rows, kt = [], want.type
@@ -140,13 +191,11 @@ class Builder:
 
     def _join(self, side: tuple[L.Side, T.DataType, T.DataType], first: bool, want: Val, version: int) -> Val:
         rows, kt, vt = side
-        w = text_of(want, 1) if version == 1 else want.col.cast(kt)
-        w = w if want.missing is None else F.when(~want.missing, w)
         self.joins += 1
         name = f"_lookup{self.joins}"
-        self.df = L.attach(self.df, L.first_match(rows) if first else L.all_matches(rows), w, name)
+        self.pending.append((lambda: L.first_match(rows) if first else L.all_matches(rows), self._wanted(want, kt, version), name))
         hit = F.col(name)
-        errors = (*want.errors, *([error(is_null(want), "lookup match must not be null")] if version == 1 else []))
+        errors = self._want_errors(want, version)
         if first:
             return Val(hit["value"], vt, hit.isNull(), errors)
         t = T.ArrayType(vt)
@@ -477,11 +526,15 @@ def compile_rule(rule: Rule, df: DataFrame, context: Any = None, order_by: list[
     """Raises ``NotTyped`` if a condition, branch or object has no static type."""
     b = Builder(df, MISSING if context is None else context)
     got = b.run(rule.steps, b.input_scope(), {}, F.lit(True), True)
-    base = b.df
-    for f in b.filters:  # Catalyst moves them below the joins and into the scan
-        base = base.where(f)
-    base = base.where(F.coalesce(got.keep, F.lit(False)))
-    return Compiled(base, got.tree, b.errors, b.warnings, b.fallbacks, rule, order_by or [F.monotonically_increasing_id()], b.context)
+    for f in b.filters:  # before the lookups; Catalyst moves them into the scan
+        b.df = b.df.where(f)
+    order = order_by or [F.monotonically_increasing_id()]
+    if rule.finalize is not None and not order_by and b.pending:
+        # joins may shuffle: the order of reading is noted before the first of them
+        b.df = b.df.withColumn(ORDER, order[0])
+        order = [F.col(ORDER)]
+    base = b.attached().where(F.coalesce(got.keep, F.lit(False)))
+    return Compiled(base, got.tree, b.errors, b.warnings, b.fallbacks, rule, order, b.context)
 
 
 def finalize_frame(c: Compiled, f: Finalize, mode: str = "strict") -> DataFrame:

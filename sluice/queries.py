@@ -106,6 +106,16 @@ def nested_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["nested_targets"](spark, sf_dir).drop("user")
 
 
+@query("nested_struct", """
+SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, CAST(3 AS BIGINT) AS n_keys,
+       '{"address":{"nation":' || c_nationkey || '},"id":' || c_custkey || ',"name":"' || c_name || '"}' AS user FROM customer""")
+def nested_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested target as text, which SQL can compare."""
+    u = F.col("user")
+    shown = F.to_json(F.struct(F.struct(u["address"]["nation"].alias("nation")).alias("address"), u["id"].alias("id"), u["name"].alias("name")))
+    return QUERIES["nested_targets"](spark, sf_dir).withColumn("user", shown)
+
+
 register("filter_all_any", "customer", r"""
 record_when:
   any:
@@ -236,6 +246,15 @@ def lookup_all_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["lookup_all_orders"](spark, sf_dir).drop("prices")
 
 
+@query("lookup_all_prices", """
+SELECT c_custkey AS id, count(o_orderkey) AS n, coalesce(string_agg(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY o_totalprice), '') AS prices
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lookup_all_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches themselves, in cents and in order, as text."""
+    cents = F.transform(F.array_sort("prices"), lambda p: F.round(p * 100).cast("bigint").cast("string"))
+    return QUERIES["lookup_all_orders"](spark, sf_dir).select("id", "n", F.array_join(cents, ",").alias("prices"))
+
+
 register("lookup_part_lineitem", "lineitem", """
 mappings:
   - { target: ord, source: l_orderkey }
@@ -298,9 +317,10 @@ def distinct_by_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("partition_flag", "SELECT CASE WHEN l_discount > 0.05 THEN 'matched' ELSE 'unmatched' END AS side, count(*) AS n, round(sum(l_extendedprice)) AS total FROM lineitem GROUP BY 1")
 def partition_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yes, no = A.partition(table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05)
-    both = [d.select(F.lit(n).alias("side"), "l_extendedprice") for n, d in (("matched", yes), ("unmatched", no))]
-    return both[0].union(both[1]).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice")).alias("total"))
+    """Both sides in one scan: the flag is a column, a side is a filter on it."""
+    flagged = A.flag_partition(table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05, "yes")
+    side = F.when(F.col("yes"), "matched").otherwise("unmatched").alias("side")
+    return flagged.groupBy(side).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice")).alias("total"))
 
 
 @query("contains_semi", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -403,6 +423,12 @@ def object_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["object_mix"](spark, sf_dir).drop("obj")
 
 
+@query("object_struct", """SELECT CAST(n_nationkey AS BIGINT) AS id, '{"a":{"b":"' || n_name || '","c":"' || n_name || '"}}' AS obj FROM nation""")
+def object_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object of dotted targets as text."""
+    return QUERIES["object_mix"](spark, sf_dir).select("id", F.to_json("obj").alias("obj"))
+
+
 register("coalesce_null", "lineitem", """
 mappings:
   - { target: ord, source: l_orderkey }
@@ -439,6 +465,20 @@ finalize:
 """, "SELECT count(*) AS total, CAST(round(sum(o_totalprice)) AS BIGINT) AS sum, max(o_totalprice) AS most, min(o_totalprice) AS least, 'orders' AS kind FROM orders WHERE o_orderstatus <> 'P'")
 
 
+register("lookup_then_finalize", "lineitem", """
+record_when: { gte: ["@input.l_quantity", 45] }
+mappings:
+  - { target: ord, source: l_orderkey }
+  - { target: line, source: l_linenumber }
+  - { target: size, expr: ["@context.part", { lookup_first: [p_partkey, "@input.l_partkey", p_size] }] }
+finalize:
+  filter: { ne: ["@item.size", null] }
+  sort: { by: size, order: desc }
+  offset: 7
+  limit: 50
+""", "SELECT l_orderkey AS ord, l_linenumber AS line, p_size AS size FROM (SELECT *, row_number() OVER () AS place FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45 ORDER BY p_size DESC, place LIMIT 50 OFFSET 7", sides=("part",))
+
+
 @query("branch_tier", """
 SELECT l_orderkey AS ord, l_extendedprice AS price, CASE WHEN l_quantity >= 25 THEN 'bulk' ELSE 'unit' END AS tier, CASE WHEN l_quantity >= 25 THEN l_discount END AS rebate, (CASE WHEN l_quantity >= 25 THEN 'bulk' ELSE 'unit' END) || '-tier' AS label
 FROM lineitem WHERE l_quantity >= 5""")
