@@ -7,14 +7,15 @@ import csv
 import io
 import json
 import sys
-from typing import Any, BinaryIO
+from pathlib import Path
+from typing import Any, BinaryIO, NamedTuple
 
 from . import api, dto
 from .errors import EvalError, InvalidRule
 from .operators import synthesis
 from .plans import ops
-from .plans.parse import parse_rule, validate_rule
-from .sources.readers import records_of
+from .plans.parse import load_rule, parse_rule, validate_rule
+from .sources.readers import load_context, records_of
 from .values import INT, MISSING, dumps, parse_number
 
 EXAMPLES = 3
@@ -74,11 +75,23 @@ def _types(args: dict) -> dict[str, set[str]]:
     return {p["path"]: set(p["types"]) for p in profile(records(args), args.get("format") == "csv")}
 
 
+def _rules(a: dict) -> str:
+    return a["rules_text"] if "rules_text" in a else Path(a["rules_path"]).read_text()
+
+
+def _base(a: dict) -> Path | None:
+    return Path(a["rules_path"]).parent if "rules_path" in a else None
+
+
 def transform(a: dict) -> Any:
-    rule = api.as_rule(a["rules_text"] if "rules_text" in a else a["rules_path"])
-    if a.get("validate") and (errors := validate_rule(a["rules_text"])):
+    if ("rules_text" in a) == ("rules_path" in a):
+        raise EvalError("InvalidInput", "exactly one of rules_text and rules_path")
+    if "context_json" in a and "context_path" in a:
+        raise EvalError("InvalidInput", "context_json and context_path exclude each other")
+    if a.get("validate") and (errors := validate_rule(_rules(a), base=_base(a))):
         raise InvalidRule(errors)
-    context = a.get("context_json", MISSING)
+    rule = api.as_rule(a["rules_text"]) if "rules_text" in a else load_rule(a["rules_path"])
+    context = load_context(a["context_path"]) if "context_path" in a else a.get("context_json", MISSING)
     out, warnings = api.transform_records(records(a, rule), rule, None if context is MISSING else context)
     rows = out[: a["preview_rows"]] if isinstance(out, list) and a.get("preview_rows") else out
     text = "\n".join(map(dumps, rows)) if a.get("ndjson") else dumps(rows)
@@ -89,14 +102,44 @@ def transform(a: dict) -> Any:
 
 TOOLS = {
     "transform": transform,
-    "validate_rules": lambda a: [e.__dict__ for e in validate_rule(a["rules_text"])],
-    "generate_dto": lambda a: dto.generate(parse_rule(a["rules_text"]), a["language"], a.get("name")),
+    "validate_rules": lambda a: [e.__dict__ for e in validate_rule(_rules(a), base=_base(a))],
+    "generate_dto": lambda a: dto.generate(api.as_rule(a["rules_text"]) if "rules_text" in a else load_rule(a["rules_path"]), a["language"], a.get("name")),
     "list_ops": lambda a: [{"op": k, "min_args": lo, "max_args": hi} for k, (lo, hi) in sorted(ops.ARITY.items())],
     "analyze_input": lambda a: profile(records(a), a.get("format") == "csv", a.get("max_paths", 200)),
     "generate_rules_from_base": lambda a: {".".join(map(str, m.target)): [c._asdict() | {"confidence": c.confidence} for c in synthesis.rank(".".join(map(str, m.target)), _types(a), m.type)] for s in parse_rule(a["rules_text"]).steps if hasattr(s, "items") for m in s.items},
     "generate_rules_from_dto": lambda a: synthesis.draft(a["fields"], _types(a)),
 }
-RESOURCES = {"sluice://ops": lambda: dumps(sorted(ops.ARITY)), "sluice://types": lambda: dumps(sorted(dto.LANGUAGES))}
+README = Path(__file__).resolve().parents[1] / "README.md"
+RESOURCES = {
+    "sluice://ops": lambda: dumps(sorted(ops.ARITY)),
+    "sluice://types": lambda: dumps(sorted(dto.LANGUAGES)),
+    "sluice://readme": lambda: README.read_text() if README.exists() else "",
+}
+
+
+class Prompt(NamedTuple):
+    """A text with places for arguments; those of ``optional`` may be left out."""
+
+    description: str
+    required: tuple[str, ...]
+    optional: tuple[str, ...]
+    text: str
+
+
+#: Names of prompts and of their arguments.
+PROMPTS = {
+    "rule_from_input_base": Prompt("Complete the sources of a rule from a sample of the input.", ("rules_text", "input_sample"), ("format", "records_path"), "Fill in the sources of this rule so that it reads the sample. Call generate_rules_from_base, then validate_rules."),
+    "rule_from_dto": Prompt("Write a rule that gives records of a type from a sample of the input.", ("dto_text", "dto_language", "input_sample"), ("format", "records_path"), "Write a rule whose output has this type, reading the sample. Call generate_rules_from_dto, then validate_rules."),
+    "explain_errors": Prompt("Explain errors of a rule or of a run, and how to mend them.", ("errors_json",), ("rules_text",), "Say for each error what it means, where in the rule it comes from and what would mend it."),
+}
+
+
+def prompt(name: str, arguments: dict) -> dict:
+    p = PROMPTS[name]
+    if lacking := [k for k in p.required if arguments.get(k) is None]:
+        raise ValueError(f"arguments are missing: {', '.join(lacking)}")
+    given = [f"{k}:\n{arguments[k]}" for k in (*p.required, *p.optional) if arguments.get(k) is not None]
+    return {"description": p.description, "messages": [{"role": "user", "content": {"type": "text", "text": "\n\n".join([p.text, *given])}}]}
 
 
 def respond(message: dict) -> dict | None:
@@ -116,7 +159,12 @@ def respond(message: dict) -> dict | None:
     if method == "resources/read" and params.get("uri") in RESOURCES:
         return ok({"contents": [{"uri": params["uri"], "text": RESOURCES[params["uri"]]()}]})
     if method == "prompts/list":
-        return ok({"prompts": [{"name": "write_rule", "description": "Write a rule for an input and a target."}]})
+        return ok({"prompts": [{"name": n, "description": p.description, "arguments": [{"name": k, "required": k in p.required} for k in (*p.required, *p.optional)]} for n, p in PROMPTS.items()]})
+    if method == "prompts/get":
+        try:
+            return ok(prompt(params["name"], params.get("arguments") or {}))
+        except (KeyError, ValueError) as x:
+            return {"jsonrpc": "2.0", "id": id_, "error": {"code": -32602, "message": f"{x}" if isinstance(x, ValueError) else "no such prompt"}}
     if method == "tools/call" and params.get("name") in TOOLS:
         try:
             got = TOOLS[params["name"]](params.get("arguments") or {})

@@ -47,10 +47,11 @@ def analyse(df: DataFrame, cells: bool = False, max_paths: int = MAX_PATHS) -> D
         shown = c.cast("string") if not isinstance(t, (T.ArrayType, T.MapType)) else F.lit(None).cast("string")
         rows.append(F.struct(F.lit(".".join(path)).alias("path"), F.when(c.isNull(), "null").otherwise(name).alias("type"), shown.alias("example")))
     flat = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    # distinct (path, type, example) would shuffle every value: the least examples are enough
-    by_type = flat.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("low"), F.max("example").alias("high"))
+    # distinct (path, type, example) would shuffle every value: the least, the greatest and two picked by hash are enough
+    picked = [F.min_by("example", F.when(F.col("example").isNotNull(), F.xxhash64(F.lit(i), "example"))).alias(f"pick{i}") for i in range(2)]
+    by_type = flat.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("low"), F.max("example").alias("high"), *picked)
     out = by_type.groupBy("path").agg(
         F.sum("n").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("low", "high")))))), 1, EXAMPLES).alias("examples"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("low", "high", "pick0", "pick1")))))), 1, EXAMPLES).alias("examples"),
     )
     return out.orderBy("path")

@@ -1031,7 +1031,8 @@ def instant(x: Val, formats: list[str] | None, zone: str | None) -> tuple[Column
         # one look at the shape, one cast: dashes for slashes and for none at all
         iso = x.col.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:?\d{2})$")
         zoned = F.when(iso, F.regexp_replace(F.regexp_replace(x.col, "[Tt]", " "), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
-        dashed = F.when(F.length(x.col) == 8, F.regexp_replace(x.col, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(F.translate(x.col, "/", "-"))
+        dashed = F.translate(x.col, "/", "-")
+        dashed = F.when(F.length(dashed) <= 8, F.regexp_replace(dashed, r"^(\d{4})(\d{2})(\d{1,2})$", "$1-$2-$3")).otherwise(dashed)
         local = F.when(x.col.rlike(dates.COMMON), dashed.try_cast("timestamp"))
         if zone and zone != "+00:00":
             local = F.to_utc_timestamp(local, zone)

@@ -6,14 +6,19 @@ whole tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import api
 from .operators import arrays as A
 from .operators import profile
+from .sources import readers, sinks
+from .streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,10 +595,140 @@ mappings:
 
 
 @query("profile_input", """
-SELECT 'o_orderstatus' AS path, 'string' AS type, count(*) AS n FROM orders UNION ALL SELECT 'o_totalprice', 'float', count(*) FROM orders UNION ALL SELECT 'o_custkey', 'int', count(*) FROM orders""")
+SELECT path, type, count(*) AS n FROM (SELECT unnest([{'path': 'o_orderkey', 'type': 'int'}, {'path': 'o_custkey', 'type': 'int'}, {'path': 'o_orderstatus', 'type': 'string'}, {'path': 'o_totalprice', 'type': 'float'}, {'path': 'o_orderdate', 'type': 'string'}, {'path': 'o_orderpriority', 'type': 'string'}], recursive := true) FROM orders) GROUP BY ALL""")
 def profile_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", "o_custkey")
-    return profile.analyse(df).select("path", F.explode("types").alias("type", "n"))
+    return profile.analyse(table(spark, sf_dir, "orders")).select("path", F.explode("types").alias("type", "n"))
+
+
+@query("lacks_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def lacks_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 200000)
+    return A.lacks(table(spark, sf_dir, "customer"), F.col("c_custkey"), rich, "o_custkey").select("c_custkey", "c_name")
+
+
+@query("lookup_v1_all", """
+SELECT c_custkey AS id, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def lookup_v1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches in the older syntax: a record without any has no value."""
+    out = api.transform(table(spark, sf_dir, "customer"), """
+version: 1
+input: { format: parquet }
+mappings:
+  - { target: id, source: c_custkey }
+  - target: keys
+    expr: { op: lookup, args: [ { ref: context.orders }, o_custkey, { ref: input.c_custkey }, o_orderkey ] }
+""", {"orders": table(spark, sf_dir, "orders")})
+    return out.where("keys is not null").select("id", F.size("keys").cast("bigint").alias("n"))
+
+
+register("lookup_explicit", "nation", """
+mappings:
+  - { target: id, source: n_nationkey }
+  - { target: region, expr: ["lit:x", { lookup_first: ["@context.region", r_regionkey, "@input.n_regionkey", r_name] }] }
+  - { target: whole, expr: ["lit:x", { lookup_first: ["@context.region", r_regionkey, "@input.n_regionkey"] }, { get: [r_name] }] }
+  - { target: names, expr: ["lit:x", { lookup: ["@context.region", r_regionkey, "@input.n_regionkey", r_name] }, len] }
+""", "SELECT n_nationkey AS id, r_name AS region, r_name AS whole, CAST(1 AS BIGINT) AS names FROM nation JOIN region ON r_regionkey = n_regionkey", sides=("region",))
+
+
+@query("required_and_asserts", """
+SELECT CASE WHEN l_tax <> 0 AND l_returnflag <> 'R' THEN l_orderkey END AS ord, CASE WHEN l_tax <> 0 AND l_returnflag <> 'R' THEN l_extendedprice END AS price, CASE WHEN l_tax <> 0 AND l_returnflag <> 'R' THEN l_returnflag END AS flag,
+       CASE WHEN l_returnflag = 'R' THEN 'MissingRequired: required value is missing or null (path: steps[0].mappings[2])' WHEN l_tax = 0 THEN 'AssertionFailed: untaxed: a line is taxed (path: steps[1].asserts[0])' END AS _error FROM lineitem""")
+def required_and_asserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that lack a required value or fail an assert, marked."""
+    return api.transform(table(spark, sf_dir, "lineitem"), rule("""
+steps:
+  - mappings:
+      - { target: ord, source: l_orderkey }
+      - { target: price, source: l_extendedprice }
+      - { target: flag, expr: ["@input.l_returnflag", { if: { cond: { ne: ["$", R] }, then: "$", else: null } }], required: true }
+  - asserts:
+      - when: { ne: ["@input.l_tax", 0] }
+        error: { code: untaxed, message: a line is taxed }
+"""), mode="quarantine")
+
+
+@query("branch_return", """
+SELECT CASE WHEN o_totalprice >= 150000 THEN o_orderkey END AS big, CASE WHEN o_totalprice < 150000 THEN o_orderkey END AS id, CASE WHEN o_totalprice < 150000 THEN o_orderstatus END AS status FROM orders""")
+def branch_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch that returns ends its records there; the others go on."""
+    from .plans.ast import Branch
+    from .plans.parse import condition, parse_rule
+
+    big = parse_rule(rule("mappings:\n  - { target: big, source: key }\n"))
+    before = parse_rule(rule("mappings:\n  - { target: key, source: o_orderkey }\n"))
+    after = parse_rule(rule("mappings:\n  - { target: id, source: o_orderkey }\n  - { target: status, source: o_orderstatus }\n"))
+    steps = (*before.steps, Branch(condition({"gte": ["@input.o_totalprice", 150000]}, 2), big, None, True, "steps[1].branch"), *after.steps)
+    return api.transform(table(spark, sf_dir, "orders"), type(before)(2, "parquet", steps)).select("big", "id", "status")
+
+
+def exchanged(spark: SparkSession, name: str) -> str:
+    """A folder for files that a query writes and reads again: below the shared one, where the session names it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.gettempdir()}/sluice-files/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+CSV_RULE = """
+version: 2
+input: { format: csv, csv: { has_header: %s, delimiter: "%s"%s } }
+mappings:
+  - { target: id, source: c_custkey, type: int }
+  - { target: name, source: c_name }
+  - { target: balance, source: c_acctbal, type: float }
+"""
+
+
+def csv_query(header: bool, delimiter: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = exchanged(spark, "csv")
+        names = ["c_custkey", "c_name", "c_acctbal"]
+        table(spark, sf_dir, "customer").select(*names).write.option("header", header).option("sep", delimiter).csv(path)
+        r = api.as_rule(CSV_RULE % (str(header).lower(), delimiter, "" if header else ", columns: [" + ", ".join(f"{{ name: {n} }}" for n in names) + "]"))
+        return api.transform(readers.read_csv(spark, path, r), r)
+
+    return run
+
+
+for _name, _header, _sep in (("csv_header", True, ","), ("csv_no_header", False, ","), ("csv_delimiter", True, "|")):
+    query(_name, "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")(csv_query(_header, _sep))
+
+
+@query("json_records_path", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def json_records_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document, its records below a path; the typed reader makes them columns."""
+    path = exchanged(spark, "json")
+    row = F.struct("n_nationkey", "n_name")
+    table(spark, sf_dir, "nation").groupBy().agg(F.collect_list(row).alias("items")).select(F.struct("items").alias("data")).coalesce(1).write.json(path)
+    r = api.as_rule("version: 2\ninput: { format: json, json: { records_path: data.items } }\nmappings:\n  - { target: id, source: n_nationkey }\n  - { target: name, source: n_name }\n")
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
+    return api.transform(readers.read_json_typed(spark, path, r, schema), r)
+
+
+@query("ndjson_sink", """SELECT '{"id":' || p_partkey || ',"name":"' || p_name || '"}' AS value FROM part""")
+def ndjson_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written one to a line by the executors, and the lines read back."""
+    path = exchanged(spark, "ndjson")
+    r = rule("mappings:\n  - { target: id, source: p_partkey }\n  - { target: name, source: p_name }\n")
+    sinks.write_ndjson(api.compiled(table(spark, sf_dir, "part"), r).json(), path)
+    return spark.read.text(path)
+
+
+@query("stream_events", "SELECT event_id AS id, event_type || '!' AS kind, value * 2 AS twice FROM events WHERE value > 20")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule over a file stream, run until all files are read."""
+    source, path = exchanged(spark, "events"), exchanged(spark, "stream")
+    table(spark, sf_dir, "events").write.parquet(source)
+    rows = stream.read_stream(spark, source, spark.read.parquet(source).schema)
+    out = stream.transform_stream(rows, rule("""
+record_when: { gt: ["@input.value", 20] }
+mappings:
+  - { target: id, source: event_id }
+  - { target: kind, expr: ["@input.event_type", { concat: ["!"] }] }
+  - { target: twice, expr: ["@input.value", { "*": [2] }] }
+"""), mode="strict", warnings=False)
+    stream.run_available(out, path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path)
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluice import api, dynamic
+from sluice.errors import EvalError
 from sluice.plans.parse import parse_rule
 from sluice.values import MISSING
 
@@ -109,3 +110,44 @@ steps:
     assert rows == [{"n": 1, "small": True}, {"big": 5}]
     exact, _ = api.transform_records([{"n": 1}, {"n": 5}, {"n": 9}], tmp_path / "r.yaml")
     assert rows == exact
+
+
+def test_finalize_keeps_the_order_of_reading_through_lookups(spark):
+    """The join shuffles; ties, offset, limit and wrap still follow the input."""
+    side = spark.range(0, 1000).selectExpr("id", "id % 3 as grp")
+    df = spark.range(0, 1000, 1, 7)
+    body = "version: 2\ninput: { format: parquet }\nmappings:\n  - { target: id, source: id }\n  - { target: grp, expr: ['@context.side', { lookup_first: [id, '@input.id', grp] }] }\n"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        run = lambda tail: [r["id"] for r in api.transform(df, body + tail, {"side": side}).collect()]
+        assert run("finalize: { limit: 5 }\n") == [0, 1, 2, 3, 4]
+        assert run("finalize: { offset: 10, limit: 3 }\n") == [10, 11, 12]
+        assert run("finalize: { sort: { by: grp, order: desc }, limit: 4 }\n") == [2, 5, 8, 11]
+        (row,) = api.transform(df, body + "finalize: { limit: 4, wrap: { ids: ['@out', { map: ['@item.id'] }] } }\n", {"side": side}).collect()
+        assert list(row["ids"]) == [0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_fields_of_one_match_share_a_join(spark):
+    side = spark.createDataFrame([(1, "a", 10), (1, "b", 20), (2, "c", None)], "k int, name string, n int").coalesce(1)
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    rule = "version: 2\ninput: { format: parquet }\nmappings:\n  - { target: k, source: k }\n" + "".join(f"  - {{ target: {t}, expr: ['@context.side', {{ lookup_first: [k, '@input.k', {t}] }}] }}\n" for t in ("name", "n")) + "  - { target: all, expr: ['@context.side', { lookup_first: [k, '@input.k'] }] }\n"
+    out = api.transform(df, rule, {"side": side})
+    assert out.drop("all")._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    rows = {r["k"]: (r["name"], r["n"], r["all"] and r["all"]["name"]) for r in out.collect()}
+    assert rows == {1: ("a", 10, "a"), 2: ("c", None, "c"), 3: (None, None, None)}
+
+
+@pytest.mark.parametrize("text", ["2024-02-29", "2024/2/9", "20240229", "2024-02-09 7:05", "2024/02/09 07:05", "2024-02-09T07:05:06", "2024-02-09 07:05:06.123456", "2024/02/09 07:05:06.5", "2024-02-09T07:05:06Z", "2024-02-09T07:05:06+0200", "2024-02-30", "2024", "2024/02/09T07:05", "07:05", "2024-02-09x", "2024022"])
+def test_common_dates_as_the_record_evaluator_reads_them(spark, text):
+    rule = "version: 2\ninput: { format: parquet }\nmappings:\n  - { target: t, expr: ['@input.d', { to_unixtime: [] }] }\n"
+    df = spark.createDataFrame([(text,)], "d string")
+    try:
+        want, _ = api.transform_records([{"d": text}], rule)
+        want = want[0]["t"]
+    except EvalError:
+        want = None
+    (row,) = api.transform(df, rule, mode="quarantine").collect()
+    assert row["t"] == want and (row["_error"] is None) == (want is not None)

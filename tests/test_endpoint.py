@@ -21,7 +21,7 @@ endpoints:
     catch: { default: sorry.yaml }
     reply: { status: 200, body: "@input", headers: { x-a: b } }
 """,
-    "fetch.yaml": 'type: network\nrequest: { method: GET, url: ["http://h/", { concat: ["@context.params.who"] }] }\ntimeout: 500ms\nretry: { max: 2, delay: 10ms, backoff: exponential }\nselect: data.user\n',
+    "fetch.yaml": 'type: network\nrequest: { method: GET, url: ["http://h/", { concat: ["@context.params.who"] }] }\ntimeout: 500ms\nretry: { max: 2, initial_delay: 10ms, backoff: exponential }\nselect: data.user\n',
     "shape.yaml": "version: 2\ninput: { format: json }\nmappings: [ { target: hello, source: name } ]\n",
     "none.yaml": "version: 2\ninput: { format: json }\nmappings: [ { target: missing, expr: '@context.error.status' } ]\n",
     "sorry.yaml": "version: 2\ninput: { format: json }\nmappings: [ { target: sorry, expr: '@context.error.kind' } ]\n",
@@ -70,6 +70,8 @@ def test_requests_on_executors(spark, root):
 def test_request_input_and_durations():
     with pytest.raises(EvalError):
         E.request_input("GET", {}, [("a", "1"), ("a", "2")], [])
+    with pytest.raises(ValueError):
+        E.duration("0ms")
     assert E.request_input("GET", {}, [], [("X", "1"), ("x", "2")])["headers"] == {"x": "1,2"}
     assert (E.duration("250ms"), E.duration("2s")) == (0.25, 2)
     with pytest.raises(ValueError):
@@ -86,6 +88,64 @@ def test_graph_and_traces(spark, root, tmp_path):
     assert [r["path"] for r in E.list_traces(spark, str(tmp_path / "t")).collect()] == ["/b", "/a"]
 
 
+def test_trace_nodes_of_a_rule(root):
+    (root / "deep.yaml").write_text("""
+version: 2
+input: { format: json }
+steps:
+  - record_when: { ne: ["@input.name", null] }
+  - mappings: [ { target: a, source: name }, { target: b, value: 1, when: { eq: ["@input.name", x] } } ]
+  - asserts: [ { when: { ne: ["@out.a", bad] }, error: { code: bad, message: no } } ]
+  - branch: { when: { eq: ["@out.a", y] }, then: inner.yaml }
+""")
+    (root / "inner.yaml").write_text("version: 2\ninput: { format: json }\nmappings: [ { target: c, source: a } ]\n")
+    nodes = []
+    assert E.Engine(root).rule("deep.yaml", {"name": "y"}, {}, root, nodes) == {"a": "y", "c": "y"}
+    assert [(n["kind"], n["status"]) for n in nodes] == [("record_when", "ok"), ("mapping", "ok"), ("mapping", "skipped"), ("assert", "ok"), ("branch", "ok")]
+    assert nodes[1]["output"] == "y" and nodes[4]["nodes"][0]["target"] == "c"
+    nodes.clear()
+    with pytest.raises(E.StepError):
+        E.Engine(root).rule("deep.yaml", {"name": "bad"}, {}, root, nodes)
+    assert nodes[-1] == {"kind": "assert", "path": nodes[-1]["path"], "status": "error"}
+
+
+def test_traces_get_and_import(tmp_path):
+    file = E.write_trace(tmp_path / "b" / "traces", {"path": "/a"})
+    (tmp_path / "b" / "rules").mkdir()
+    (tmp_path / "b" / "rules" / "r.yaml").write_text("x")
+    got = E.import_bundle(tmp_path / "d", tmp_path / "b")
+    assert got == {"imported": 1, "trace_ids": [file.stem], "rules_imported": 1} and (tmp_path / "d/rules/r.yaml").read_text() == "x"
+    assert E.get_trace(tmp_path / "d" / "traces", file.stem)["path"] == "/a" and E.get_trace(tmp_path / "d", "../x") is None
+    assert E.import_bundle(tmp_path / "d", tmp_path / "b")["imported"] == 0
+    with pytest.raises(EvalError):
+        (tmp_path / "no.json").write_text("[1]")
+        E.import_traces(tmp_path / "d", tmp_path / "no.json")
+
+
+def test_kinds_of_referenced_files(root):
+    assert E.validate_dir(root) == []
+    (root / "second.yaml").write_text("type: endpoint\nendpoint: { path: /x, steps: [ { rule: api.yaml, catch: { default: fetch.yaml } } ] }\n")
+    (root / "net.yaml").write_text("type: network\nrequest: { method: GET, url: 'lit:u' }\nretry: { initial_delay: 0s, backoff: never }\n")
+    faults = "\n".join(E.validate_dir(root))
+    for part in ("api.yaml is of type endpoint", "fetch.yaml is of type network, a catch takes normal", "net.yaml: timeout is missing", "retry.initial_delay", "retry.backoff"):
+        assert part in faults
+
+
+def test_prompts_and_paths(tmp_path):
+    ask = lambda method, **params: mcp.respond({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
+    assert [p["name"] for p in ask("prompts/list")["result"]["prompts"]] == ["rule_from_input_base", "rule_from_dto", "explain_errors"]
+    got = ask("prompts/get", name="explain_errors", arguments={"errors_json": "[1]"})["result"]["messages"][0]["content"]["text"]
+    assert "[1]" in got
+    assert ask("prompts/get", name="explain_errors", arguments={})["error"]["code"] == -32602 == ask("prompts/get", name="nope")["error"]["code"]
+    assert len(ask("resources/list")["result"]["resources"]) == 3
+    (tmp_path / "r.yaml").write_text("version: 2\ninput: { format: json, json: {} }\nmappings: [ { target: k, expr: '@context.k' } ]\n")
+    (tmp_path / "c.json").write_text('{"k": 5}')
+    call = lambda **a: ask("tools/call", name="transform", arguments=a)["result"]
+    out = call(rules_path=f"{tmp_path}/r.yaml", context_path=f"{tmp_path}/c.json", input_json=[{}], validate=True)
+    assert json.loads(out["content"][0]["text"])["output"] == '[{"k":5}]'
+    assert call(rules_path=f"{tmp_path}/r.yaml", context_path=f"{tmp_path}/c.json", context_json={}, input_json=[{}])["isError"]
+
+
 def test_synthesis():
     profile = {"user.fullName": {"string"}, "user.id": {"int"}, "price": {"string"}}
     assert S.rank("full_name", profile, "string")[0] == S.Candidate("user.fullName", 0.85)
