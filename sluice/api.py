@@ -17,6 +17,7 @@ from .plans.ast import Rule
 from .plans.compiler import NotTyped
 from .plans.engine import Compiled, compile_rule, finalize_frame
 from .plans.parse import load_rule, parse_rule
+from .ship import ship
 from .values import MISSING, dumps
 
 
@@ -82,6 +83,7 @@ def transform_json(df: DataFrame, rule: Rule | str | dict | Path, context: Any =
 
     if rule.finalize is not None and df.isStreaming:
         raise EvalError("InvalidInput", "finalize needs all records, a stream has no end")
+    ship(df.sparkSession)
     order = order_by[0] if order_by else F.monotonically_increasing_id()
     rows = df.select(order.cast("bigint").alias("_ord"), F.col(column).alias("value")).mapInPandas(run, "_ord bigint, value string, warnings string")
     if rule.finalize is None:

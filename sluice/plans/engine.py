@@ -19,6 +19,7 @@ from .. import dynamic
 from ..errors import EvalError
 from ..functions import columns as X
 from ..operators import lookup as L
+from ..ship import ship
 from ..values import MISSING, dumps, get_path
 from .ast import All, Assert, Branch, Call, Compare, Finalize, Lit, Mapping, Mappings, Pipe, RecordWhen, Ref, Rule
 from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number, cast_value, choose, compile_cond, compile_expr, compile_steps, constant, either, elements, error, errors_of, failed, is_null, native, of_column, str_arg, struct, text_of, tree_value, unify, value
@@ -26,6 +27,8 @@ from .compiler import BOOL, LONG, STRING, Error, NotTyped, Scope, Val, as_number
 MODES = ("strict", "quarantine", "null")
 #: The place of a record in the input, while lookups are joined.
 ORDER = "_sluice_order"
+#: Expressions whose text is as long are computed once, if outputs are read again.
+LONG_EXPRESSION = 300
 
 
 class Result:
@@ -40,8 +43,10 @@ class Builder:
 
     def __init__(self, df: DataFrame, context: Any) -> None:
         self.df = df
-        #: joins of lookups, in the order in which they were met: (matches, key, name)
-        self.pending: list[tuple[Callable[[], DataFrame], Column, str]] = []
+        #: joins of lookups and columns that are read again, in the order in which they were met
+        self.pending: list[Callable[[DataFrame], DataFrame]] = []
+        #: the outputs that some expression of the rule reads
+        self.read_again: frozenset = frozenset()
         #: first matches by frame, key and wanted value: their name and the fields that are read
         self.shared: dict[tuple, tuple[str, dict[str | None, str]]] = {}
         self.frames = {k: v for k, v in context.items() if isinstance(v, DataFrame)} if isinstance(context, dict) else {}
@@ -49,7 +54,7 @@ class Builder:
         self.columns = {f.name: f.dataType for f in df.schema.fields}
         self.errors: list[tuple[Error, str]] = []
         self.warnings: list[tuple[Column, str, str, str]] = []
-        self.joins = 0
+        self.joins = self.staged = 0
         self.fallbacks: list[str] = []
         #: conditions known to hold before a join, for filters that can go first
         self.filters: list[Column] = []
@@ -138,7 +143,7 @@ class Builder:
                 values = F.struct(*[item(g).col.alias(f) for g, f in fields.items()])
                 return L.first_match(L.side_of_frame(keyed, "_lookup_key", values, order))
 
-            self.pending.append((matches, w, self.shared[at][0]))
+            self.pending.append(lambda df, to=self.shared[at][0]: L.attach(df, matches(), w, to))
         hit, fields = self.shared[at]
         field = fields.setdefault(get, f"f{len(fields)}")
         return Val(F.col(hit)["value"][field], item(get).type, F.col(hit).isNull(), self._want_errors(want, version))
@@ -153,12 +158,21 @@ class Builder:
         return (*want.errors, *([error(is_null(want), "lookup match must not be null")] if version == 1 else []))
 
     def attached(self) -> DataFrame:
-        """The input with all lookups, each joined after those that it may read."""
+        """The input with all lookups and columns, each after those that it may read."""
         df = self.df
-        for matches, want, name in self.pending:
-            df = L.attach(df, matches(), want, name)
+        for step in self.pending:
+            df = step(df)
         return df
 
+    def once(self, v: Val) -> Val:
+        """A long expression as a column of its own, which later ones read."""
+        if v.literal is not MISSING or isinstance(v.type, T.NullType) or len(repr(v.col)) < LONG_EXPRESSION:
+            return v
+        self.staged += 1
+        name = f"_out{self.staged}"
+        self.pending.append(lambda df: df.withColumn(name, v.col))
+        return v._replace(col=F.col(name))
+
     def _list_side(self, items: list, key: str, get: str | None, want: Val, version: int, first: bool) -> tuple[L.Side, T.DataType, T.DataType]:
         rows, kt = [], want.type
         for i, x in enumerate(items):
@@ -193,7 +207,8 @@ class Builder:
         rows, kt, vt = side
         self.joins += 1
         name = f"_lookup{self.joins}"
-        self.pending.append((lambda: L.first_match(rows) if first else L.all_matches(rows), self._wanted(want, kt, version), name))
+        key = self._wanted(want, kt, version)
+        self.pending.append(lambda df: L.attach(df, L.first_match(rows) if first else L.all_matches(rows), key, name))
         hit = F.col(name)
         errors = self._want_errors(want, version)
         if first:
@@ -287,6 +302,8 @@ class Builder:
             v = cast_value(v, m.type, v.missing, v.errors)
         self.report(v.errors, live, m.path)
         v = v._replace(errors=())
+        if m.target[0] in self.read_again:
+            v = self.once(v)
         if cond is not None:
             before = out_leaf(tree, m.target)
             if before is None:
@@ -298,6 +315,7 @@ class Builder:
     def dynamic(self, m: Mapping, s: Scope) -> Val:
         """One mapping in the record evaluator: it gets the fields that it reads as
         JSON and gives JSON; scalars of a declared type become columns again."""
+        ship(self.df.sparkSession)
         expr, context, kind = m.expr, self.context, m.type
         uses = {r.path[0] if r.path else None for r in refs(expr) if r.ns == "input"}
         if any(r.ns == "context" and r.path[:1] and r.path[0] in self.frames for r in refs(expr)):
@@ -465,9 +483,15 @@ class Compiled:
         df, bad = self.base, self.message()
         extra = [self.warning_column().alias("_warnings")] if warnings else []
         order = [c.alias(f"_ord{i}") for i, c in enumerate(self.order)] if keep_order else []
-        if bad is not None and mode == "strict":
-            df = df.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True)))
         cols = self.columns()
+        if bad is not None and mode == "strict":
+            # one projection for outputs and errors, which share what they compute: the partition's
+            # number keeps Catalyst from moving the check below it as a second copy of everything
+            fault = F.when(F.spark_partition_id() < 0, F.lit("")).otherwise(bad).alias("_fault")
+            warned = self.warning_column().alias("_warnings")
+            df = df.select(*cols, *order, *([warned] if warnings else []), fault)
+            df = df.where(F.when(F.col("_fault").isNotNull(), F.raise_error(F.col("_fault")).cast("boolean")).otherwise(F.lit(True)))
+            return df.drop("_fault")
         if bad is not None and mode == "quarantine":
             cols = [F.when(bad.isNull(), c).alias(n) for c, n in zip(cols, self.tree, strict=True)]
         if mode == "quarantine":
@@ -525,11 +549,12 @@ def json_escape(c: Column) -> Column:
 def compile_rule(rule: Rule, df: DataFrame, context: Any = None, order_by: list[Column] | None = None) -> Compiled:
     """Raises ``NotTyped`` if a condition, branch or object has no static type."""
     b = Builder(df, MISSING if context is None else context)
+    b.read_again = frozenset(r.path[0] for r in refs(rule.steps) if r.ns == "out" and r.path)
     got = b.run(rule.steps, b.input_scope(), {}, F.lit(True), True)
     for f in b.filters:  # before the lookups; Catalyst moves them into the scan
         b.df = b.df.where(f)
     order = order_by or [F.monotonically_increasing_id()]
-    if rule.finalize is not None and not order_by and b.pending:
+    if rule.finalize is not None and not order_by and b.joins:
         # joins may shuffle: the order of reading is noted before the first of them
         b.df = b.df.withColumn(ORDER, order[0])
         order = [F.col(ORDER)]

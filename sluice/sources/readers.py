@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..errors import EvalError
 from ..plans.ast import Rule
 from ..plans.parse import Fault, path_tokens
+from ..ship import ship
 from ..values import MISSING, dumps, get_path
 
 #: Order columns of a file source: file, position in the file, row within it.
@@ -81,6 +82,7 @@ def read_json(spark: SparkSession, path: str, rule: Rule) -> DataFrame:
                 rows = [dumps(r) for r in records_of(document, where)]
                 yield pd.DataFrame({"pos": range(len(rows)), "value": rows})
 
+    ship(spark)
     docs = spark.read.text(path, wholetext=True)
     return docs.mapInPandas(split, "pos bigint, value string").select(F.monotonically_increasing_id().alias(ORDINAL), "value")
 

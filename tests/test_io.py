@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -90,3 +94,24 @@ def test_profile(spark):
     df = spark.createDataFrame([("1", None), ("x", 2.5)], "a string, b double")
     rows = {r["path"]: (r["count"], r["types"]) for r in profile.analyse(df, cells=True).collect()}
     assert rows == {"a": (2, {"int": 1, "string": 1}), "b": (2, {"float": 1, "null": 1})}
+
+
+def test_workers_need_no_repository(tmp_path):
+    """Workers that cannot import this package run records, documents and fallbacks."""
+    (tmp_path / "in.json").write_text('[{"n": 1, "s": "x"}, {"n": 2.5, "s": "y"}]')
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+from sluice import api
+from sluice.sources import readers
+body = 'version: 2\\ninput: {{ format: json, json: {{}} }}\\nmappings: [ {{ target: n, source: n }}, {{ target: m, expr: ["@input.s", {{ from_entries: ["@input.n"] }}, entries, first, {{ merge: [{{ z: [x] }}] }}, values] }} ]\\n'
+rule = api.as_rule(body)
+rows = readers.read_records(spark, {str(tmp_path / "in.json")!r}, rule)
+print('JSON', [r['value'] for r in api.transform_json(rows, rule).collect()])
+print('FALLBACK', api.transform(spark.createDataFrame([(1, 'x')], 'n int, s string'), rule).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "JSON ['{\"m\":" in done.stdout and "FALLBACK 1" in done.stdout, done.stdout + done.stderr[-2000:]
