@@ -10,10 +10,13 @@ import json
 import sys
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import api, dto
+from .api import NotTyped
 from .errors import EvalError, InvalidRule
 from .plans.parse import load_rule, validate_rule
 from .sources import readers, sinks
@@ -59,14 +62,31 @@ def _write(text: str, output: str | None) -> None:
         sys.stdout.write(text)
 
 
+def _columns(spark, args: argparse.Namespace, rule, context) -> DataFrame | None:
+    """(value, warnings) by columns, for CSV and Parquet: None if a mapping has no static
+    type, or where the record evaluator's warnings or its order are wanted."""
+    fmt = args.format or rule.format
+    if fmt not in ("csv", "parquet") or rule.finalize is not None:
+        return None
+    try:
+        c = api.compiled(readers.read_csv(spark, args.input, rule) if fmt == "csv" else spark.read.parquet(args.input), rule, context)
+        if c.fallbacks or c.warnings or c.joined:
+            return None
+        return c.json().withColumn("warnings", F.lit("[]"))
+    except NotTyped:
+        return None
+
+
 def _run(args: argparse.Namespace) -> int:
     rule = load_rule(args.rules)
     if args.command == "transform" and args.ndjson and rule.finalize:
         raise EvalError("InvalidInput", "finalize needs all records, newline-delimited output has none")
     context = readers.load_context(args.context) if args.context else None
     spark = _spark()
-    records = readers.read_records(spark, args.input, rule, args.format)
-    out = api.transform_json(records, rule, context, order_by=[records[readers.ORDINAL]])
+    out = _columns(spark, args, rule, context)
+    if out is None:
+        records = readers.read_records(spark, args.input, rule, args.format)
+        out = api.transform_json(records, rule, context, order_by=[records[readers.ORDINAL]])
     if args.command == "preflight":
         api.write_noop(out)
         return 0
@@ -107,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
     except EvalError as x:
         print(x, file=sys.stderr)
         return 1 if x.kind == "InvalidInput" and "cannot read" in x.message else 3
-    except PySparkException as x:
+    except (PySparkException, Py4JJavaError) as x:
         print(str(x)[:2000], file=sys.stderr)
         return 1 if "PATH_NOT_FOUND" in str(x) else 3
 

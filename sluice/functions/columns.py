@@ -43,7 +43,7 @@ def float_text(c: Column, version: int) -> Column:
     long = F.regexp_replace(c.try_cast("decimal(38,16)").cast("string"), "0+$", "")
     power = F.regexp_replace(F.lower(c.cast("string")), r"\.0e", "e")
     return (
-        F.when((size < 1e16) & (c == F.floor(c)), digits if version == 1 else F.concat(digits, F.lit(".0")))
+        F.when((size < 1e16) & (c == F.floor(c)), digits if version == 1 else F.when((c == 0) & (c.cast("string") == "-0.0"), "-0.0").otherwise(F.concat(digits, F.lit(".0"))))
         .when((size < 1e7) & (size >= 1e-3), c.cast("string")).when((size < 1e16) & (size >= 1e-4), long).otherwise(power)
     )
 

@@ -456,8 +456,10 @@ def pick_tree(c: Column, a: dict, b: dict) -> dict:
 class Compiled:
     """A rule applied to a DataFrame; nothing has run yet."""
 
-    def __init__(self, df: DataFrame, tree: dict, errors: list, warnings: list, fallbacks: list[str], rule: Rule, order: list[Column], context: Any) -> None:
+    def __init__(self, df: DataFrame, tree: dict, errors: list, warnings: list, fallbacks: list[str], rule: Rule, order: list[Column], context: Any, joined: bool) -> None:
         self.base, self.tree, self.errors, self.warnings, self.fallbacks, self.rule, self.order, self.context = df, tree, errors, warnings, fallbacks, rule, order, context
+        #: whether lookups are joins, which may change the order of records
+        self.joined = joined
 
     def message(self) -> Column | None:
         """The first error of a record as text, or null."""
@@ -559,7 +561,7 @@ def compile_rule(rule: Rule, df: DataFrame, context: Any = None, order_by: list[
         b.df = b.df.withColumn(ORDER, order[0])
         order = [F.col(ORDER)]
     base = b.attached().where(F.coalesce(got.keep, F.lit(False)))
-    return Compiled(base, got.tree, b.errors, b.warnings, b.fallbacks, rule, order, b.context)
+    return Compiled(base, got.tree, b.errors, b.warnings, b.fallbacks, rule, order, b.context, bool(b.joins))
 
 
 def finalize_frame(c: Compiled, f: Finalize, mode: str = "strict") -> DataFrame:

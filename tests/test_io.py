@@ -9,7 +9,7 @@ import pytest
 from sluice import api, cli, dto
 from sluice.errors import EvalError
 from sluice.operators import profile
-from sluice.plans.parse import parse_rule
+from sluice.plans.parse import load_rule, parse_rule
 from sluice.sources import readers, sinks
 from sluice.streaming import stream
 
@@ -115,3 +115,28 @@ print('FALLBACK', api.transform(spark.createDataFrame([(1, 'x')], 'n int, s stri
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "JSON ['{\"m\":" in done.stdout and "FALLBACK 1" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+def test_command_line_by_columns(spark, tmp_path, monkeypatch, capsys):
+    """CSV goes through columns where it can, with what the record evaluator gives."""
+    (tmp_path / "a.csv").write_text('id,name,price,day\n001,"a,""b""",1.50,2024/02/09\n002,,2,2024-02-10\n003,"\u00e9\t\u2028",-0.0,20240211\n')
+    (tmp_path / "r.yaml").write_text("""
+version: 2
+input: { format: csv, csv: {} }
+record_when: { ne: ["@input.id", "009"] }
+mappings:
+  - { target: id, source: id }
+  - { target: p.price, source: price, type: float }
+  - { target: p.twice, expr: ["@out.p.price", { "*": [2] }] }
+  - { target: name, expr: ["@input.name", uppercase], when: { ne: ["@input.name", ""] } }
+  - { target: day, expr: ["@input.day", { date_format: ["%d.%m.%Y"] }] }
+""")
+    call = lambda: (cli.main(["transform", "-r", f"{tmp_path}/r.yaml", "-i", f"{tmp_path}/a.csv"]), capsys.readouterr().out)
+    columns = call()
+    (tmp_path / "typed.yaml").write_text((tmp_path / "r.yaml").read_text())
+    rule = load_rule(tmp_path / "typed.yaml")
+    args = cli.parser().parse_args(["transform", "-r", "x", "-i", f"{tmp_path}/a.csv"])
+    assert cli._columns(spark, args, rule, None) is not None
+    monkeypatch.setattr(cli, "_columns", lambda *a: None)
+    records = call()
+    assert columns[0] == records[0] == 0 and columns[1] == records[1] and len(json.loads(columns[1])) == 3
