@@ -41,14 +41,11 @@ RULES = (
 )
 
 
-def _spans(text: str, rule: Rule) -> tuple[Column, Column]:
-    """The pieces between matches, and the matches; both empty without the hint."""
-    hit = F.col(text).rlike(rule.hint)
-    none = F.array().cast("array<string>")
-    return (
-        F.when(hit, F.split(F.col(text), rule.pattern, -1)).otherwise(none),
-        F.when(hit, F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0))).otherwise(none),
-    )
+def _spans(text: str, rule: Rule) -> Column:
+    """The pieces between matches and the matches, as one struct, so that the hint
+    is looked for once; null without the hint."""
+    pattern = F.lit(rule.pattern)
+    return F.when(F.col(text).rlike(rule.hint), F.struct(F.split(F.col(text), rule.pattern, -1).alias("gaps"), F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("hits")))
 
 
 SPAN = "array<struct<s:bigint,k:int,e:bigint,kind:string>>"
@@ -83,11 +80,8 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     else:
         blobs = blobs.withColumn("_known", F.lit(None).cast(f"map<string,{SPAN}>"))
     for i, r in enumerate(rules):
-        old = F.col("_known")[r.key]
-        gaps, hits = _spans("text", r)
-        none = F.lit(None).cast("array<string>")
-        blobs = blobs.withColumns({f"_g{i}": F.when(old.isNull(), gaps).otherwise(none), f"_m{i}": F.when(old.isNull(), hits).otherwise(none)})
-    spans = [F.coalesce(F.col("_known")[r.key], _placed(F.col(f"_g{i}"), F.col(f"_m{i}"), r, i)) for i, r in enumerate(rules)]
+        blobs = blobs.withColumn(f"_x{i}", F.when(F.col("_known")[r.key].isNull(), _spans("text", r)))
+    spans = [F.coalesce(F.col("_known")[r.key], _placed(F.col(f"_x{i}.gaps"), F.col(f"_x{i}.hits"), r, i)) for i, r in enumerate(rules)]
     return blobs.select(*cols, *[s.alias(f"_s{i}") for i, s in enumerate(spans)])
 
 
