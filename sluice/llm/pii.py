@@ -95,13 +95,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 #: Words near a candidate, by what they speak for.
 CONTEXT = (
-    re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address)\b", re.IGNORECASE),
-    re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp)\b", re.IGNORECASE),
-    re.compile(r"\b(?:ssn|social security|taxpayer|social)\b", re.IGNORECASE),
-    re.compile(r"\b(?:iban|bank|account|swift|bic|transfer)\b", re.IGNORECASE),
-    re.compile(r"\b(?:order|invoice|part|serial|model|version|isbn|sku|ticket|case|page|section|score|meet|lunch|noon|look)\b", re.IGNORECASE),
+    re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address|inbox|send|message|newsletter)\b", re.IGNORECASE),
+    re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp|dial|hotline|number|ring|text|landline|callback)\b", re.IGNORECASE),
+    re.compile(r"\b(?:ssn|social security|taxpayer|social|tax|insurance|tin|national id)\b", re.IGNORECASE),
+    re.compile(r"\b(?:iban|bank|account|swift|bic|transfer|payee|deposit|wire)\b", re.IGNORECASE),
+    re.compile(r"\b(?:order|invoice|part|serial|model|version|isbn|sku|ticket|case|page|section|score|meet|lunch|noon|look|batch|lot|shipment|build|catalogue|tracking|item|ref|code|row|release)\b", re.IGNORECASE),
 )
-N_FEATURES = 11 + 2 * len(CONTEXT) + len(ADDED)
+#: Endings that spelled-out addresses have.
+ENDINGS = re.compile(r"(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$", re.IGNORECASE)
+N_FEATURES = 13 + 2 * len(CONTEXT) + len(ADDED)
 
 
 def features(text: str, s: int, k: int, e: int) -> list[float]:
@@ -116,6 +118,7 @@ def features(text: str, s: int, k: int, e: int) -> list[float]:
         float("[" in x or "(" in x), float(x.islower()),
         float(iban_valid(x)) if k == KINDS.index("iban") else 0.0,
         float(first in ("000", "666") or first[:1] == "9"), float(first[:1] in ("0", "1")), float(all(a.strip("0") for a in areas)),
+        float(len(areas) > 1 and areas[1][:1] in ("0", "1")), float(bool(ENDINGS.search(x))),
         float(before[-2:-1] in ("#", ":") or before[-1:] in ("#", ":")),
         *[float(bool(c.search(before))) for c in CONTEXT], *[float(bool(c.search(after))) for c in CONTEXT],
         *[float(k == len(BASE) + i) for i in range(len(ADDED))],
@@ -183,16 +186,25 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
         s = f"{country}{(check if valid else (check + rnd.randint(1, 90)) % 97):02d}{body}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rnd.random() < 0.5 else s
 
+    phone = lambda: (rnd.randint(201, 989), rnd.randint(200, 999), num(4))
+    ssn = lambda: f"{rnd.randint(1, 665):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"
+    plain = (word, word, word, lambda: rnd.choice(("the", "is", "and", "on", "to", "at:", "")))
+    any_lead = lambda *leads: rnd.choice((*leads, *plain)) if rnd.random() < 0.5 else rnd.choice(leads)
+    said = lambda lead: lead() if callable(lead) else lead
+    thing = lambda: rnd.choice(("order", "invoice", "part", "serial", "version", "batch", "lot", "shipment", "build", "catalogue", "ticket", "item", "ref", "code", "row", "release", "tracking"))
     makers: list[tuple[str, Callable[[], tuple[str, str]], int]] = [
-        ("email_words", lambda: (rnd.choice(("contact", "email", "mail me:", "write to", "reach us")), rnd.choice((f"{word()} [at] {word()} [dot] com", f"{word()}(at){word()}(dot)org", f"{word()} at {word()} dot net"))), 1),
-        ("email_words", lambda: (rnd.choice((word(), "meet", "look", "lunch", "noon")), f"{word()} at {word()} dot {word()}"[:60]), 0),
-        ("phone_local", lambda: (rnd.choice(("call", "phone", "tel", "mobile:", "fax")), rnd.choice((f"({rnd.randint(201, 989)}) {rnd.randint(200, 999)}-{num(4)}", f"{rnd.randint(201, 989)}-{rnd.randint(200, 999)}-{num(4)}", f"{rnd.randint(201, 989)}.{rnd.randint(200, 999)}.{num(4)}"))), 1),
-        ("phone_local", lambda: (rnd.choice(("order", "invoice", "part", "serial", word(), word(), "version")), f"{num(3)}{rnd.choice('-. ')}{num(3)}{rnd.choice('-. ')}{num(4)}"), 0),
-        ("ssn", lambda: (rnd.choice(("ssn", "social security", "taxpayer", "SSN:")), f"{rnd.randint(1, 665):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"), 1),
-        ("ssn", lambda: (rnd.choice(("order", "part", "serial", word(), word(), "page", "ssn")), rnd.choice((f"9{num(2)}-{num(2)}-{num(4)}", f"000-{num(2)}-{num(4)}"))), 0),
-        ("ssn", lambda: (rnd.choice(("order", "part", "serial", word(), word(), "page")), f"{num(3)}{rnd.choice('- ')}{num(2)}{rnd.choice('- ')}{num(4)}"), 0),
-        ("iban", lambda: (rnd.choice(("iban", "account", "bank", "transfer to", word(), word())), iban(True)), 1),
-        ("iban", lambda: (rnd.choice(("iban", "serial", "model", word(), word())), iban(False)), 0),
+        # forms that are nothing else, whatever stands before them
+        ("email_words", lambda: (said(any_lead("contact", "email", "mail me:", "write to", "reach us", "send it to", "inbox")), rnd.choice((f"{word()} [at] {word()} [dot] {rnd.choice(('com', 'org', 'net'))}", f"{word()}(at){word()}(dot){rnd.choice(('com', 'org', 'info'))}", f"{word()}[at]{word()}[dot]de"))), 1),
+        ("email_words", lambda: (rnd.choice(("contact", "email", "mail", "write to", "message")), f"{word()} at {word()} dot {rnd.choice(('com', 'org', 'net'))}"), 1),
+        ("email_words", lambda: (rnd.choice((word(), word(), "meet", "look", "lunch", "noon")), f"{word()} at {word()} dot {word()}"[:60]), 0),
+        ("phone_local", lambda: (said(any_lead("call", "phone", "tel", "mobile:", "fax", "dial", "number", "text", "ring")), "({}) {}-{}".format(*phone())), 1),
+        ("phone_local", lambda: (rnd.choice(("call", "phone", "tel", "mobile:", "fax", "dial", "hotline", "number", "text", "landline")), rnd.choice(("{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(*phone())), 1),
+        ("phone_local", lambda: (rnd.choice((thing(), thing(), word())), f"{num(3)}{rnd.choice('-. ')}{num(3)}{rnd.choice('-. ')}{num(4)}"), 0),
+        ("ssn", lambda: (rnd.choice(("ssn", "social security", "taxpayer", "SSN:", "tax", "social", "insurance", "national id")), ssn()), 1),
+        ("ssn", lambda: (rnd.choice((thing(), word(), "page", "ssn")), rnd.choice((f"9{num(2)}-{num(2)}-{num(4)}", f"000-{num(2)}-{num(4)}"))), 0),
+        ("ssn", lambda: (rnd.choice((thing(), word(), "page")), f"{num(3)}{rnd.choice('- ')}{num(2)}{rnd.choice('- ')}{num(4)}"), 0),
+        ("iban", lambda: (rnd.choice(("iban", "account", "bank", "transfer to", "wire", word(), word())), iban(True)), 1),
+        ("iban", lambda: (rnd.choice(("iban", "serial", "model", thing(), word(), word())), iban(False)), 0),
     ]
     out = []
     while len(out) < n:

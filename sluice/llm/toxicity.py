@@ -92,9 +92,9 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def choose_words(train: DataFrame) -> list[str]:
-    """Words that toxic documents have significantly more often: the MAX_WORDS of
-    the highest likelihood ratio."""
+def choose_words(train: DataFrame, most_words: int = MAX_WORDS) -> list[str]:
+    """Words that toxic documents have significantly more often: ``most_words`` at
+    most, of the highest likelihood ratio."""
     one = F.array_remove(F.array_distinct(F.split(F.lower("text"), WORD_GAP, -1)), "")
     begin = lambda n: F.array_distinct(F.transform(F.filter("one", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))))
     words = train.select("toxic", one.alias("one")).select("toxic", F.explode(F.concat("one", *[begin(n) for n in PREFIXES])).alias("w"))
@@ -107,7 +107,7 @@ def choose_words(train: DataFrame) -> list[str]:
     expect = (a + b) * (n1 / (n1 + n0))
     gain = a * F.log(a / expect) + F.when(b > 0, b * F.log(b / (a + b - expect))).otherwise(0.0)
     top = df.where((a + b >= LEAST_DOCS) & (ratio > 2) & (a > 0)).select("w", gain.alias("g")).where("g > 5")
-    return [r["w"] for r in top.orderBy(F.desc("g"), "w").limit(MAX_WORDS).collect()]
+    return [r["w"] for r in top.orderBy(F.desc("g"), "w").limit(most_words).collect()]
 
 
 def fit_bags(bags: list[tuple[int, list[list[int]], int]], words: list[str], steps: int = 500, rate: float = 0.1, ridge: float = 1e-5) -> Model:
@@ -147,10 +147,11 @@ def fit_bags(bags: list[tuple[int, list[list[int]], int]], words: list[str], ste
     return Model(dict(zip(words, x[:-2].tolist(), strict=True)), float(x[-2]), float(sig(x[-1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_words: int = MAX_WORDS) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): of at most
+    ``most`` labelled documents and ``most_words`` vocabulary words."""
     train = C.materialise(sample(C.small_batches(docs), labels, most), "toxic-sample")
-    words = choose_words(train)
+    words = choose_words(train, most_words)
     index = {w: i for i, w in enumerate(words)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +200,7 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return C.small_batches(docs).where(F.pandas_udf(run, "double")(C.whole_text(text_col)) < threshold)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, threshold: float = 0.5, most_words: int = MAX_WORDS) -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``sentences``.
 
     Fitted on at most ``most`` labelled rows outside the held-out fold (crc32 of
@@ -210,7 +211,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     table, every score is the leak. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.whole_text(text_col).alias("text"))
-    model = fit(rows, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), most)
+    model = fit(rows, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), most, most_words)
     out = score(rows, model, threshold)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
 

@@ -1,5 +1,6 @@
 """Near-duplicates, toxicity, page text, personal data and nearest neighbours."""
 
+import math
 import os
 import random
 import re
@@ -371,3 +372,78 @@ def test_ann_repeated_rows_are_one_candidate(spark):
     rows = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(2, 9)] + [(0, [1.0, 0.5])]
     got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas()
     assert list(got.sort_values("rank")["vec_id"]) == list(range(1, 9))
+
+
+# toxicity by brute force, personal data in independent wording
+
+
+def test_noisy_or_by_brute_force(spark):
+    """Each document's score is one minus the product of the chances that nothing fires."""
+    rnd = random.Random(6)
+    model = toxicity.Model({"vile": 20.0, "scum": 9.0, "mea*": 7.5, "odd": 0.3}, -14.0, 0.02)
+    vocabulary = ["vile", "scum", "meanie", "meanness", "odd", "fine", "day", "walk"]
+    texts = ["", None, "no end", "vile.", "?!", "\u0130vile scum"] + [" ".join(rnd.choice(vocabulary) + rnd.choice(["", "", ".", "!", "\n", "? "]) for _ in range(rnd.randint(1, 30))) for _ in range(300)] + ["fine day. " * 20_000 + "vile scum."]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(t or "" for t in texts)), EMPTY), model).collect()
+
+    def sentences(text):
+        out, start = [], 0
+        for m in re.finditer(r"[.!?\n]+", text):
+            ends = m.start() + (m[0].index("\n") + 1 if "\n" in m[0] else len(m[0]))
+            out.append((start, ends, text[start:ends]))
+            start = ends
+        return [x for x in [*out, (start, len(text), text[start:])] if x[2]]
+
+    def brute(text):
+        quiet, spans = 1 - model.leak, []
+        for s, e, part in sentences(text):
+            words = set(re.findall(r"[a-z]+", part.lower()))
+            z = model.bias + sum(model.weights[w] for w in words if w in model.weights) + (model.weights["mea*"] if any(w.startswith("mea") for w in words) else 0)
+            p = 1 / (1 + math.exp(-z))
+            quiet *= 1 - min(p, 1 - 1e-12)
+            if p >= 0.5:
+                spans.append(text[s:e].strip())
+        return 1 - quiet, spans
+
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        if "\u0130" in text or re.search(r"[.!?]\n|\n[.!?]", text) or text == "?!":
+            continue  # where sentences end there is a matter of taste
+        want, spans = brute(text)
+        assert r["score"] == pytest.approx(want, abs=1e-9), text[:80]
+        assert [text[x["start"] : x["end"]].strip() for x in r["sentences"]] == spans
+    assert len(got) == len(texts)
+
+
+def test_added_spans_in_independent_wording():
+    """Planted into other text, after words that neither the examples nor the features know."""
+    rnd, model = random.Random(8), pii.train()
+    num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+
+    def iban():
+        body = num(18)
+        return f"GB{98 - int(body + '161100') % 97:02d}{body}"
+
+    planted = {
+        "phone_local": (("voicemail ", "give us a bell on ", "tonight: "), lambda: f"({rnd.randint(201, 989)}) {rnd.randint(200, 999)}-{num(4)}"),
+        "email_words": (("drop a line to ", "questions go here: ", "signed "), lambda: rnd.choice((f"jo{num(2)} [at] firm [dot] org", "mara(at)shop(dot)net"))),
+        "iban": (("please remit to ", "beneficiary ", "thanks: "), iban),
+    }
+    other = {"chapter ": lambda: f"9{num(2)}-{num(2)}-{num(4)}", "voucher ": lambda: f"{num(3)} {num(3)} {num(4)}", "gate ": lambda: f"{num(3)}.{num(3)}.{num(4)}", "drawer ": lambda: f"{num(3)}-{num(2)}-{num(4)}"}
+    text = lambda lead, body: (f"the thing in of {lead}{body} and there it is", 16 + len(lead), 16 + len(lead) + len(body))
+    for kind, (leads, make) in planted.items():
+        hits = 0
+        for i in range(150):
+            t, s, e = text(leads[i % 3], make())
+            hits += (s, pii.KINDS.index(kind), e) in pii.find_spans(t, model)
+        assert hits >= 135, (kind, hits)
+    false = sum(any(k >= len(pii.BASE) for _, k, _ in pii.find_spans(text(lead, make())[0], model)) for lead, make in other.items() for _ in range(100))
+    assert false <= 20, false
+
+
+def test_pii_long_texts_and_ties(spark):
+    """A text of a million characters, spans that start together, and nothing at all."""
+    long = "x " * 500_000 + "a@b.cd +12 345 678 901 4111 1111 1111 1111"
+    rows = spark.createDataFrame([(1, long), (2, "1.2.3.4@b.cd"), (3, "4111111111111111 " * 3), (4, "no data")], EMPTY)
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["found"] if x["base"]] for r in pii.find_pii(rows).collect()}
+    for d, t in ((1, long), (2, "1.2.3.4@b.cd"), (3, "4111111111111111 " * 3), (4, "no data")):
+        assert got[d] == [(s, pii.KINDS[k], e) for s, k, e in brute_pii(t)]
