@@ -87,7 +87,8 @@ def transform_json(df: DataFrame, rule: Rule | str | dict | Path, context: Any =
     order = order_by[0] if order_by else F.monotonically_increasing_id()
     rows = df.select(order.cast("bigint").alias("_ord"), F.col(column).alias("value")).mapInPandas(run, "_ord bigint, value string, warnings string")
     if rule.finalize is None:
-        return rows.select("value", "warnings") if df.isStreaming else rows.orderBy("_ord").select("value", "warnings")
+        # without an order of its own the input's stays: nothing here moves a row
+        return (rows.orderBy("_ord") if order_by and not df.isStreaming else rows).select("value", "warnings")
     return _finalize_json(rows.where("value is not null"), rule, context)
 
 

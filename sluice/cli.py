@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-r", "--rules", required=True)
         if name in ("preflight", "transform"):
             c.add_argument("-i", "--input", required=True)
-            c.add_argument("-f", "--format", choices=("csv", "json", "parquet"))
+            c.add_argument("-f", "--format", choices=("csv", "json", "ndjson", "parquet"))
             c.add_argument("-c", "--context")
         if name == "transform":
             c.add_argument("-o", "--output")
@@ -86,7 +86,7 @@ def _run(args: argparse.Namespace) -> int:
     out = _columns(spark, args, rule, context)
     if out is None:
         records = readers.read_records(spark, args.input, rule, args.format)
-        out = api.transform_json(records, rule, context, order_by=[records[readers.ORDINAL]])
+        out = api.transform_json(records, rule, context, order_by=[records[readers.ORDINAL]] if rule.finalize else None)
     if args.command == "preflight":
         api.write_noop(out)
         return 0

@@ -10,25 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Side rows from a driver-side document that are broadcast, at most; beyond it
-#: (and for DataFrames, whose size Spark estimates) the planner decides.
+#: Side rows from a driver-side document that are broadcast, at most, and their
+#: size; beyond it (and for DataFrames, whose size Spark estimates) the planner decides.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
 class Side:
-    """(ord, key, value) rows; ``rows`` is known for driver-side documents."""
+    """(ord, key, value) rows; ``rows`` and ``size`` are known for driver-side documents."""
 
     df: DataFrame
     rows: int | None = None
+    size: int = 0
 
     def hint(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.rows is not None and self.rows <= BROADCAST_ROWS else df
+        return F.broadcast(df) if self.rows is not None and self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES else df
 
 
 def side_of_rows(spark: SparkSession, rows: list[tuple[int, Any, Any]], key: T.DataType, value: T.DataType) -> Side:
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("key", key), T.StructField("value", value)])
-    return Side(spark.createDataFrame(rows, schema), len(rows))
+    return Side(spark.createDataFrame(rows, schema), len(rows), sum(len(repr(r)) for r in rows))
 
 
 def side_of_frame(df: DataFrame, key: str, value: Column, order: list[str] | None = None) -> Side:

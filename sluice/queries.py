@@ -705,6 +705,16 @@ def json_records_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.transform(readers.read_json_typed(spark, path, r, schema), r)
 
 
+@query("ndjson_source", "SELECT p_partkey AS id, p_name || '!' AS name FROM part WHERE p_size >= 10")
+def ndjson_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records one to a line, read in splits and taken as they are by the record evaluator."""
+    path = exchanged(spark, "lines")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.json(path)
+    r = api.as_rule("version: 2\ninput: { format: json, json: {} }\nrecord_when: { gte: ['@input.p_size', 10] }\nmappings:\n  - { target: id, source: p_partkey }\n  - { target: name, expr: ['@input.p_name', { concat: ['!'] }] }\n")
+    out = api.transform_json(readers.read_records(spark, path, r, "ndjson"), r)
+    return out.where("value is not null").select(F.from_json("value", "id bigint, name string").alias("r")).select("r.*")
+
+
 @query("ndjson_sink", """SELECT '{"id":' || p_partkey || ',"name":"' || p_name || '"}' AS value FROM part""")
 def ndjson_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written one to a line by the executors, and the lines read back."""

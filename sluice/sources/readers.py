@@ -87,6 +87,12 @@ def read_json(spark: SparkSession, path: str, rule: Rule) -> DataFrame:
     return docs.mapInPandas(split, "pos bigint, value string").select(F.monotonically_increasing_id().alias(ORDINAL), "value")
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_ordinal, value): one record a line; files split, so any number of tasks read one."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.monotonically_increasing_id().alias(ORDINAL), "value")
+
+
 def csv_as_json(df: DataFrame) -> DataFrame:
     """(_ordinal, value): CSV records as JSON objects of strings."""
     return df.select(F.monotonically_increasing_id().alias(ORDINAL), F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("value"))
@@ -99,6 +105,8 @@ def read_records(spark: SparkSession, path: str, rule: Rule, fmt: str | None = N
         return csv_as_json(read_csv(spark, path, rule))
     if fmt == "json":
         return read_json(spark, path, rule)
+    if fmt == "ndjson":
+        return read_json_lines(spark, path)
     if fmt == "parquet":
         return csv_as_json(spark.read.parquet(path))
     raise EvalError("InvalidInput", f"no such format: {fmt}")
