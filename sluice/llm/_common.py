@@ -75,12 +75,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, so a lost
-    executor costs only the tasks that it ran."""
+    executor costs only the tasks that it ran. ``codec`` overrides the session's."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
     return out

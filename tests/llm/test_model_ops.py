@@ -204,6 +204,24 @@ def test_doubtful_parts_of_articles_are_decided_by_the_host(spark):
     assert out[9] == f"story 9 a background of matter 9 that no other page tells {share}"
 
 
+@pytest.mark.parametrize("grams", [1 << 21, 0])
+def test_the_host_decides_on_articles(spark, monkeypatch, grams):
+    """Of several articles the ones that pages share go, and so does a notice that most
+    articles of a host have; a line that fewer have stays, and so do copies of an article."""
+    monkeypatch.setattr(html_text, "BROADCAST_GRAMS", grams)
+    teaser, notice, line = "our most read story of the week is this one here", "all of this site closes for works on friday night", "as the old saying goes you reap what you sow"
+    copied = "one report that was printed by every paper of the town with all its words"
+    rows = [(i, f"http://h.x/{i}", SHELL.format(f"<article><h1>Story {i}</h1><p>page {i} tells of {i * 7} things and of {i * 11} more{' and more' * (i + 9)}</p><p>{notice}</p>{f'<p>{line}</p>' if i < 4 else ''}</article><article class='card'>{teaser}</article>")) for i in range(12)]
+    rows += [(100 + i, f"http://h.x/c{i}", SHELL.format(f"<article><p>{copied}</p><p>{notice}</p></article><div>{i}</div>")) for i in range(4)]
+    rows += [(200 + i, f"http://small.x/{i}", SHELL.format(f"<article><p>page {i} has {i * 7} things and {i * 11} more to tell you</p><p>{line}</p></article>")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    out = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    for i in range(12):
+        assert out[i] == f"Story {i} page {i} tells of {i * 7} things and of {i * 11} more{' and more' * (i + 9)}" + (f" {line}" if i < 4 else "")
+    assert all(out[100 + i] == copied for i in range(4))
+    assert all(out[200 + i] == f"page {i} has {i * 7} things and {i * 11} more to tell you {line}" for i in range(3))
+
+
 def test_long_pages_without_article(spark):
     """Whole texts: a page of 60,000 tokens loses its menu only."""
     menu = "home news sport weather travel money culture contact imprint"
