@@ -253,6 +253,22 @@ def test_packing_round_trip(spark, docs, nothing):
     assert packing.pack(nothing, None).count() == 0
 
 
+def test_packing_keeps_frequent_words(monkeypatch):
+    """A full cache keeps the words that came first, and ids are the tokenizer's all the same."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.Words, "LIMIT", 20)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words, run = packing.Words(tok), Counter()
+    plain = words.run
+    words.run = lambda low: run.update([low]) or plain(low)
+    rare = ["".join("bdfgklmnpr"[int(c)] for c in f"{i:04}") for i in range(200)]
+    text = " ".join(f"the of {w}, {w.upper()}! Été ÉTÉ. {i}$$$" for i, w in enumerate(rare))
+    assert words.ids(text) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert run["the"] == run["of"] == run["été"] == 1 and len(words) <= 20
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     for k in (1, 2, 7):
