@@ -4,6 +4,7 @@ function of that name does something else."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -100,38 +101,61 @@ def slice_range(arr: Column, start: int, end: int | None) -> Column:
     return F.slice(arr, s + 1, F.greatest(e - s, F.lit(0)))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and inside of
+    whatever loop ``body`` reads it. Catalyst puts what a loop reads once back
+    into the loop, where it is computed for every element."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def chunk(arr: Column, size: int) -> Column:
-    count = F.ceil(F.size(arr) / F.lit(size)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(arr, i * size + 1, size))
-    return F.when(F.size(arr) > 0, parts).otherwise(F.slice(parts, 1, 0))
+    def parts(a: Column) -> Column:
+        count = F.ceil(F.size(a) / F.lit(size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(a, i * size + 1, size))
+
+    return let(arr, lambda a: F.when(F.size(a) > 0, parts(a)).otherwise(F.slice(parts(a), 1, 0)))
+
+
+def placed(keys: Column) -> Column:
+    """Keys with their places, sorted by both: equal keys are side by side."""
+    return F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
 
 
-def first_positions(keys: Column) -> Column:
-    """For each element, whether it is the first with its key (null-safe)."""
-    return F.transform(keys, lambda k, i: ~F.exists(F.slice(keys, 1, i), lambda o: o.eqNullSafe(k)))
+def opens(rows: Column, r: Column, j: Column) -> Column:
+    """Whether row ``j`` of ``placed`` is the first with its key (null-safe)."""
+    return (j == 0) | ~F.get(rows, j - 1)["k"].eqNullSafe(r["k"])
+
+
+def distinct(items: Column, keys: Column) -> Column:
+    """The items that are the first with their key (null-safe), in their order."""
+    firsts = lambda rows: F.sort_array(F.transform(F.filter(rows, lambda r, j: opens(rows, r, j)), lambda r: r["i"]))
+    some = lambda k: let(items, lambda v: F.transform(let(placed(k), firsts), lambda i: F.get(v, i)))
+    return let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), items).otherwise(some(k)))
 
 
 def sort_by(items: Column, keys: Column, descending: bool) -> Column:
     """Stable sort by keys of one type."""
-    rows = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), F.get(items, i).alias("v")))
-    if not descending:
-        order = F.array_sort(rows, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(a["i"] - b["i"]))
-    else:
-        order = F.array_sort(rows, lambda a, b: F.when(a["k"] > b["k"], -1).when(a["k"] < b["k"], 1).otherwise(a["i"] - b["i"]))
-    return F.transform(order, lambda r: r["v"])
+    rows = F.transform(keys, lambda k, i: F.struct(k.alias("k"), (-i if descending else i).alias("i")))
+    return let(items, lambda v: F.transform(F.sort_array(rows, not descending), lambda r: F.get(v, -r["i"] if descending else r["i"])))
 
 
 def last_wins(keys: Column, items: Column) -> Column:
     """Map of key to the last item, keys in order."""
-    pairs = F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.get(items, i).alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.size(keys)), lambda o: o == p["k"]))
-    return F.map_from_entries(F.array_sort(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1)))
+    lasts = lambda rows: F.filter(rows, lambda r, j: ~F.get(rows, j + 1)["k"].eqNullSafe(r["k"]))
+    return let(items, lambda v: F.map_from_entries(F.transform(let(placed(keys), lasts), lambda r: F.struct(r["k"].alias("k"), F.get(v, r["i"]).alias("v")))))
 
 
 def grouped(keys: Column, items: Column) -> Column:
     """Map of key to its items in order, keys in order."""
-    names = F.array_sort(F.array_distinct(keys))
-    rows = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.get(items, i).alias("v")))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(rows, lambda r: r["k"] == n), lambda r: r["v"])))
+    starts = lambda rows: F.filter(F.transform(rows, lambda r, j: F.when(opens(rows, r, j), j)), lambda j: j.isNotNull())
+    group = lambda rows, at, v: lambda j, n: F.transform(F.slice(rows, j + 1, F.coalesce(F.get(at, n + 1), F.size(rows)) - j), lambda r: F.get(v, r["i"]))
+    whole = lambda rows, at: let(items, lambda v: F.map_from_arrays(F.transform(at, lambda j: F.get(rows, j)["k"]), F.transform(at, group(rows, at, v))))
+    return let(placed(keys), lambda rows: let(starts(rows), lambda at: whole(rows, at)))
+
+
+def by_key(m: Column, show: Callable[[Column, Column], Column]) -> Column:
+    """``show`` of each key of a map and its value, keys in order."""
+    return let(F.map_values(m), lambda v: F.transform(placed(F.map_keys(m)), lambda r: show(r["k"], F.get(v, r["i"]))))
 
 
 def any_of(conds: list[Column]) -> Column:

@@ -27,6 +27,8 @@ from .parse import Fault, path_tokens
 
 NULL, STRING, LONG, DOUBLE, BOOL = T.NullType(), T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+#: The index of an element where a body is only looked at.
+PLACE = "_sluice_place"
 
 
 class NotTyped(Exception):
@@ -61,6 +63,7 @@ class Scope:
     names: tuple = ()
     lookup: Callable | None = None  # turns a lookup in a constant or a DataFrame into a join
     frames: frozenset = frozenset()  # entries of the context that are DataFrames
+    stage: Callable[[Val], Val] | None = None  # makes a value a column; None inside of array bodies
 
 
 def native(t: T.DataType) -> T.DataType:
@@ -251,7 +254,7 @@ def compile_expr(e: Any, s: Scope) -> Val:
     if isinstance(e, Ref):
         return reference(e, s)
     if isinstance(e, Pipe):
-        return compile_steps(e.steps, replace(s, pipe=compile_expr(e.start, s)))
+        return compile_steps(e.steps, replace(s, pipe=staged(compile_expr(e.start, s), s)))
     if isinstance(e, Call):
         if e.subject is None:
             if s.pipe is None:
@@ -263,8 +266,13 @@ def compile_expr(e: Any, s: Scope) -> Val:
     raise NotTyped(type(e).__name__)
 
 
+def staged(v: Val, s: Scope) -> Val:
+    """What the next step and its errors read again and again, computed once."""
+    return v if s.stage is None or not isinstance(v.type, (T.ArrayType, T.MapType)) else s.stage(v)
+
+
 def compile_steps(steps: tuple, s: Scope) -> Val:
-    for step in steps:
+    for n, step in enumerate(steps):
         if isinstance(step, Call):
             v = compile_call(step, s, s.pipe)
         elif isinstance(step, Let):
@@ -278,7 +286,7 @@ def compile_steps(steps: tuple, s: Scope) -> Val:
             v = compile_map(s, s.pipe, lambda t: compile_steps(step.steps, t), 2)  # noqa: B023
         else:
             v = compile_expr(step, s)
-        s = replace(s, pipe=v)
+        s = replace(s, pipe=v if n == len(steps) - 1 else staged(v, s))
     return s.pipe
 
 
@@ -441,8 +449,9 @@ def elements(v: Val) -> Val:
 class Each(NamedTuple):
     """A body over the elements of an array."""
 
+    at: Callable[[Column, Column], Val]  # of an element and its index
     values: Column  # of every element; null where missing
-    missing: Column | None  # array of flags
+    gone: bool  # whether some may be missing
     type: T.DataType
     errors: tuple[Error, ...]
 
@@ -450,17 +459,18 @@ class Each(NamedTuple):
 def each(s: Scope, arr: Val, body: Callable[[Scope], Val]) -> Each:
     def at(x: Column, i: Column) -> Val:
         item = Val(x, arr.type.elementType)
-        return body(replace(s, item=item, pipe=item, index=Val(i.cast("bigint"), LONG)))
+        return body(replace(s, item=item, pipe=item, index=Val(i.cast("bigint"), LONG), stage=None))
 
-    probe = at(F.col("x"), F.lit(0))
+    probe = at(F.col("x"), F.col(PLACE))
     errors = []
     for n, e in enumerate(probe.errors):
-        errors.append(Error(any_element(arr.col, lambda x, i: at(x, i).errors[n].cond), e.kind, e.message))  # noqa: B023
-    missing = None if probe.missing is None else F.transform(arr.col, lambda x, i: at(x, i).missing)
-    return Each(F.transform(arr.col, lambda x, i: value(at(x, i))), missing, probe.type, tuple(errors))
+        errors.append(Error(any_element(arr.col, lambda x, i: at(x, i).errors[n].cond, PLACE in repr(e.cond)), e.kind, e.message))  # noqa: B023
+    return Each(at, F.transform(arr.col, lambda x, i: value(at(x, i))), probe.missing is not None, probe.type, tuple(errors))
 
 
-def any_element(arr: Column, cond: Callable[[Column, Column], Column]) -> Column:
+def any_element(arr: Column, cond: Callable[[Column, Column], Column], placed: bool) -> Column:
+    if not placed:
+        return F.exists(arr, lambda x: F.coalesce(cond(x, F.lit(0)), F.lit(False)))
     return F.exists(F.transform(arr, lambda x, i: F.coalesce(cond(x, i), F.lit(False))), lambda b: b)
 
 
@@ -473,15 +483,25 @@ def compile_map(s: Scope, v: Val, body: Callable[[Scope], Val], version: int) ->
         raise NotTyped("map of something else than an array")
     got = each(s, Val(F.coalesce(v.col, F.array().cast(v.type)), v.type), body)
     out = got.values
-    if got.missing is not None:
-        out = F.filter(out, lambda _, i: ~F.get(got.missing, i))
+    if got.gone:
+        def row(x: Column, i: Column) -> Column:
+            y = got.at(x, i)
+            return F.struct(y.col.alias("v"), (F.lit(False) if y.missing is None else y.missing).alias("gone"))
+
+        some = F.coalesce(v.col, F.array().cast(v.type))
+        out = F.transform(F.filter(F.transform(some, row), lambda r: ~r["gone"]), lambda r: r["v"])
     return Val(out, T.ArrayType(got.type), v.missing, (*v.errors, error(is_null(v), "map requires array"), *got.errors))
 
 
-def predicate(got: Each) -> Column:
+def predicate(got: Each) -> Callable[[Column, Column], Column]:
     if not isinstance(got.type, (T.BooleanType, T.NullType)):
         raise NotTyped("a predicate that is not boolean")
-    return F.transform(got.values, lambda b: F.coalesce(b.cast("boolean"), F.lit(False)))
+    return lambda x, i: F.coalesce(value(got.at(x, i)).cast("boolean"), F.lit(False))
+
+
+def keys_of(keys: Column, t: T.DataType, s: Scope) -> Column:
+    """The keys of all elements, which the result and the errors read."""
+    return staged(Val(keys, T.ArrayType(t)), s).col
 
 
 def int_arg(v: Val) -> int:
@@ -535,26 +555,26 @@ def compile_arrays(e: Call, s: Scope, x: Val) -> Val:
                 return Val(F.flatten(got.values), got.type, None, errors)
             return Val(got.values, T.ArrayType(got.type), None, errors)
         if op in ("filter", "partition", "find", "find_index"):
-            flags = predicate(got)
-            keep = F.filter(arr.col, lambda _, i: F.get(flags, i))
+            fits = predicate(got)
+            keep = F.filter(arr.col, fits)
             if op == "filter":
                 return Val(keep, arr.type, None, errors)
             if op == "find":
                 return Val(F.get(keep, F.lit(0)), element, None, errors)
             if op == "find_index":
-                return Val(F.coalesce(F.array_position(flags, F.lit(True)), F.lit(0)).cast("bigint") - 1, LONG, None, errors)
-            return Val(F.array(keep, F.filter(arr.col, lambda _, i: ~F.get(flags, i))), T.ArrayType(arr.type), None, errors)
+                return Val(F.coalesce(F.array_position(F.transform(arr.col, fits), F.lit(True)), F.lit(0)).cast("bigint") - 1, LONG, None, errors)
+            return Val(F.array(keep, F.filter(arr.col, lambda y, i: ~fits(y, i))), T.ArrayType(arr.type), None, errors)
         if op == "sort_by":
             if not isinstance(got.type, (T.StringType, T.LongType, T.DoubleType, T.BooleanType)):
                 raise NotTyped("sort keys without order")
             order_ = str_arg(compile_expr(e.args[1], s)) if len(e.args) > 1 else "asc"
-            bad = F.exists(got.values, lambda k: k.isNull())
-            return Val(X.sort_by(arr.col, got.values, order_ == "desc"), arr.type, None, (*errors, error(bad, "sort_by keys must be strings, numbers or booleans of one kind")))
-        names = F.transform(got.values, lambda k: text_of(Val(k, got.type), 1))
+            keys = keys_of(got.values, got.type, s)
+            bad = F.exists(keys, lambda k: k.isNull())
+            return Val(X.sort_by(arr.col, keys, order_ == "desc"), arr.type, None, (*errors, error(bad, "sort_by keys must be strings, numbers or booleans of one kind")))
+        names = keys_of(F.transform(got.values, lambda k: text_of(Val(k, got.type), 1)), STRING, s)
         errors = (*errors, error(F.exists(names, lambda k: k.isNull()), "key must not be null"))
         if op == "distinct_by":
-            first = X.first_positions(names)
-            return Val(F.filter(arr.col, lambda _, i: F.get(first, i)), arr.type, None, errors)
+            return Val(X.distinct(arr.col, names), arr.type, None, errors)
         fine = F.transform(names, lambda k: F.coalesce(k, F.lit("")))
         if op == "key_by":
             return Val(X.last_wins(fine, arr.col), T.MapType(STRING, element), None, errors)
@@ -602,9 +622,10 @@ def compile_arrays(e: Call, s: Scope, x: Val) -> Val:
             return Val(F.array().cast(T.ArrayType(arr.type)), T.ArrayType(arr.type), None, (*errors, error(F.lit(True), "chunk size must be positive")))
         return Val(X.chunk(arr.col, n), T.ArrayType(arr.type), None, errors)
     if op == "unique":
+        if isinstance(element, (T.StringType, T.LongType, T.BooleanType)):  # equal where their texts are
+            return Val(F.array_distinct(arr.col), arr.type, None, errors)
         names = F.transform(arr.col, lambda y: text_of(Val(y, element), 1))
-        first = X.first_positions(names)
-        return Val(F.filter(arr.col, lambda _, i: F.get(first, i)), arr.type, None, errors)
+        return Val(X.distinct(arr.col, names), arr.type, None, errors)
     if op in ("index_of", "contains"):
         want = args[0] if isinstance(args[0].type, T.NullType) else Val(text_of(args[0], 1), STRING, args[0].missing)
         needle = value(want).cast("string")
@@ -627,7 +648,7 @@ def zipped(arrs: list[Val]) -> Val:
 def fold(s: Scope, body: Any, items: Column, element: T.DataType, start: Val, first: int, errors: tuple) -> Val:
     def step(acc: Column, x: Column, i: Column, t: T.DataType) -> Val:
         item = Val(x, element)
-        return compile_expr(body, replace(s, item=item, pipe=item, index=Val(i.cast("bigint"), LONG), acc=Val(acc, t)))
+        return compile_expr(body, replace(s, item=item, pipe=item, index=Val(i.cast("bigint"), LONG), acc=Val(acc, t), stage=None))
 
     t = start.type
     for _ in range(3):  # the accumulator's type settles: null, then integer, then float
@@ -694,17 +715,16 @@ def compile_objects(e: Call, s: Scope, x: Val) -> Val:
             raise NotTyped("len of a scalar")
         return Val(n.cast("bigint"), LONG, x.missing, (*errors, nothing))
     if isinstance(x.type, T.MapType) and op in ("keys", "values", "entries"):
-        names = F.array_sort(F.map_keys(x.col))
         if op == "keys":
-            return Val(names, T.ArrayType(STRING), x.missing, (*errors, nothing))
+            return Val(F.sort_array(F.map_keys(x.col)), T.ArrayType(STRING), x.missing, (*errors, nothing))
         if op == "values":
-            return Val(F.transform(names, lambda k: F.try_element_at(x.col, k)), T.ArrayType(x.type.valueType), x.missing, (*errors, nothing))
+            return Val(X.by_key(x.col, lambda _, v: v), T.ArrayType(x.type.valueType), x.missing, (*errors, nothing))
         t = T.StructType([T.StructField("key", STRING), T.StructField("value", x.type.valueType)])
-        return Val(F.transform(names, lambda k: F.struct(k.alias("key"), F.try_element_at(x.col, k).alias("value"))), T.ArrayType(t), x.missing, (*errors, nothing))
+        return Val(X.by_key(x.col, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), T.ArrayType(t), x.missing, (*errors, nothing))
     if isinstance(x.type, T.MapType) and op == "merge" and all(isinstance(a.type, T.MapType) for a in args):
         out = x.col
         for a in args:
-            out = F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(a.col, k)), a.col)  # noqa: B023
+            out = X.let(a.col, lambda m: F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(m, k)), m))  # noqa: B023
         return Val(out, x.type, x.missing, (*errors, nothing))
     if op in ("merge", "deep_merge"):
         out: dict = {}

@@ -6,6 +6,7 @@ plain columns, so filters and the columns that are read reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -29,6 +30,8 @@ MODES = ("strict", "quarantine", "null")
 ORDER = "_sluice_order"
 #: Expressions whose text is as long are computed once, if outputs are read again.
 LONG_EXPRESSION = 300
+#: The text of a column that only names another.
+PLAIN = re.compile(r"Column<'[\w`.]+'>$")
 
 
 class Result:
@@ -44,7 +47,7 @@ class Builder:
     def __init__(self, df: DataFrame, context: Any) -> None:
         self.df = df
         #: joins of lookups and columns that are read again, in the order in which they were met
-        self.pending: list[Callable[[DataFrame], DataFrame]] = []
+        self.pending: list[Callable[[DataFrame], DataFrame] | tuple[str, Column]] = []
         #: the outputs that some expression of the rule reads
         self.read_again: frozenset = frozenset()
         #: first matches by frame, key and wanted value: their name and the fields that are read
@@ -68,14 +71,14 @@ class Builder:
         def whole() -> Val:
             return struct({k: field(k) for k in sorted(self.columns)})
 
-        return Scope(whole, field, self.context, {}, lookup=self.lookup, frames=frozenset(self.frames))
+        return Scope(whole, field, self.context, {}, lookup=self.lookup, frames=frozenset(self.frames), stage=self.stage)
 
     def out_scope(self, tree: dict) -> Scope:
         def field(name: str) -> Val | None:
             v = tree.get(name)
             return v if v is None or isinstance(v, Val) else tree_value(v)
 
-        return Scope(lambda: tree_value(tree), field, self.context, {}, lookup=self.lookup, frames=frozenset(self.frames))
+        return Scope(lambda: tree_value(tree), field, self.context, {}, lookup=self.lookup, frames=frozenset(self.frames), stage=self.stage)
 
     # lookups
 
@@ -101,7 +104,7 @@ class Builder:
         if isinstance(items, list):
             return self._join(self._list_side(items, key_name, get_name, w, e.version, first), first, w, e.version)
         arr = s.pipe if source is None else compile_expr(source, s)
-        return self._in_record(arr, key_name, get_name, w, e.version, first)
+        return self._in_record(arr, key_name, get_name, w, e.version, first, s.stage)
 
     def _is_array(self, e: Any, s: Scope) -> bool:
         if isinstance(e, Ref) and e.ns == "context":
@@ -159,20 +162,32 @@ class Builder:
 
     def attached(self) -> DataFrame:
         """The input with all lookups and columns, each after those that it may read."""
-        df = self.df
-        for step in self.pending:
+        df, level, waiting = self.df, {}, {}
+        for step in [*self.pending, lambda df: df]:
+            if isinstance(step, tuple):  # one projection for all columns that read the same ones
+                name, col = step
+                level[name] = 1 + max((level.get(n, 0) for n in re.findall(r"\b_out\d+\b", repr(col))), default=0)
+                waiting.setdefault(level[name], {})[name] = col
+                continue
+            for _, cols in sorted(waiting.items()):
+                df = df.withColumns(cols)
+            waiting = {}
             df = step(df)
         return df
 
-    def once(self, v: Val) -> Val:
-        """A long expression as a column of its own, which later ones read."""
-        if v.literal is not MISSING or isinstance(v.type, T.NullType) or len(repr(v.col)) < LONG_EXPRESSION:
+    def stage(self, v: Val) -> Val:
+        """A computed value as a column of its own."""
+        if v.literal is not MISSING or isinstance(v.type, T.NullType) or PLAIN.match(repr(v.col)):
             return v
         self.staged += 1
         name = f"_out{self.staged}"
-        self.pending.append(lambda df: df.withColumn(name, v.col))
+        self.pending.append((name, v.col))
         return v._replace(col=F.col(name))
 
+    def once(self, v: Val) -> Val:
+        """A long expression as a column of its own, which later ones read."""
+        return v if len(repr(v.col)) < LONG_EXPRESSION else self.stage(v)
+
     def _list_side(self, items: list, key: str, get: str | None, want: Val, version: int, first: bool) -> tuple[L.Side, T.DataType, T.DataType]:
         rows, kt = [], want.type
         for i, x in enumerate(items):
@@ -216,7 +231,8 @@ class Builder:
         t = T.ArrayType(vt)
         return Val(hit, t, hit.isNull(), errors) if version == 1 else Val(F.coalesce(hit, F.array().cast(t)), t, None, errors)
 
-    def _in_record(self, arr: Val, key: str, get: str | None, want: Val, version: int, first: bool) -> Val:
+    @staticmethod
+    def _in_record(arr: Val, key: str, get: str | None, want: Val, version: int, first: bool, stage: Callable[[Val], Val] | None) -> Val:
         if not isinstance(arr.type, T.ArrayType) or not isinstance(arr.type.elementType, T.StructType) or key not in arr.type.elementType.names:
             raise NotTyped("a lookup in something else than an array of objects")
         t = arr.type.elementType
@@ -225,6 +241,8 @@ class Builder:
             hits = F.filter(elements(arr).col, lambda x: text_of(k(x), 1) == text_of(want, 1))
         else:
             hits = F.filter(elements(arr).col, lambda x: x[key].eqNullSafe(value(want).cast(t[key].dataType)))
+        if stage is not None:
+            hits = stage(Val(hits, arr.type)).col
         vt = t if get is None else t[get].dataType
         out = hits if get is None else F.transform(hits, lambda x: x[get])
         errors = (*arr.errors, *want.errors)
@@ -533,8 +551,8 @@ def json_value(c: Column, t: T.DataType) -> Column:
     elif isinstance(t, T.ArrayType):
         out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_value(x, t.elementType)), ","), F.lit("]"))
     elif isinstance(t, T.MapType):
-        keys = F.array_sort(F.map_keys(c))
-        out = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(json_value(k, T.StringType()), F.lit(":"), json_value(F.try_element_at(c, k), t.valueType))), ","), F.lit("}"))
+        pairs = X.by_key(c, lambda k, v: F.concat(json_value(k, T.StringType()), F.lit(":"), json_value(v, t.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         out = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"'))
     else:

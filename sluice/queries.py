@@ -338,7 +338,7 @@ def per_order(spark: SparkSession, sf_dir: str, _: DataFrame) -> DataFrame:
     """Orders with their line numbers and prices as arrays, in a total order."""
     df = table(spark, sf_dir, "lineitem")
     row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    rows = df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    rows = df.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
     return rows.select("l_orderkey", F.transform("r", lambda x: x["l_linenumber"].cast("bigint")).alias("nums"), F.transform("r", lambda x: x["l_quantity"]).alias("qtys"), F.transform("r", lambda x: F.struct(x["l_partkey"].alias("part"), x["l_linenumber"].cast("bigint").alias("line"), x["l_quantity"].alias("qty"))).alias("items"))
 
 
