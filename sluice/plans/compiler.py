@@ -645,6 +645,14 @@ def zipped(arrs: list[Val]) -> Val:
     return Val(rows, T.ArrayType(T.ArrayType(t)))
 
 
+def null_where_bad(body: Any) -> bool:
+    """Whether a step that fails, and any step after it, gives null: a result that
+    is not null then tells that no step failed."""
+    first, calls = (body.start, body.steps) if isinstance(body, Pipe) else (body.subject, (body,)) if isinstance(body, Call) else (None, ())
+    here = lambda a: isinstance(a, Lit) or isinstance(a, Ref) and a.ns in ("item", "acc", "index") and not a.path
+    return first == Ref("acc") and all(isinstance(c, Call) and (c is body or c.subject is None) and c.op in ("concat", "+", "-", "*", "/") and all(map(here, c.args)) for c in calls)
+
+
 def fold(s: Scope, body: Any, items: Column, element: T.DataType, start: Val, first: int, errors: tuple) -> Val:
     def step(acc: Column, x: Column, i: Column, t: T.DataType) -> Val:
         item = Val(x, element)
@@ -659,16 +667,28 @@ def fold(s: Scope, body: Any, items: Column, element: T.DataType, start: Val, fi
     if isinstance(t, T.NullType):
         raise NotTyped("an accumulator without a type")
     # the state carries the accumulator and whether a step failed
-    n = len(step(F.col("a"), F.col("x"), F.lit(0), t).errors)
-    rows = F.transform(items, lambda x, i: F.struct(x.alias("x"), (i + first).alias("i")))
+    probe = step(F.col("a"), F.col("x"), F.col(PLACE), t)
+    n = len(probe.errors)
+    placed = any(PLACE in repr(c) for c in (value(probe), *[e.cond for e in probe.errors]))
+    rows = F.transform(items, lambda x, i: F.struct(x.alias("x"), (i + first).alias("i"))) if placed else items
     state = lambda a, bad: F.struct(a.cast(t).alias("a"), bad.alias("bad"))
 
     def go(acc: Column, row: Column) -> Column:
-        v = step(acc["a"], row["x"], row["i"], t)
-        return state(value(v), acc["bad"] | failed(v.errors) if n else acc["bad"])
-
+        v = step(acc["a"], row["x"], row["i"], t) if placed else step(acc["a"], row, F.lit(0), t)
+        return state(value(v), acc["bad"] | failed(v.errors))
+
+    if not n or null_where_bad(body) and probe.missing is None:
+        plain = lambda acc, row: value(step(acc, row["x"], row["i"], t) if placed else step(acc, row, F.lit(0), t)).cast(t)
+        got = F.aggregate(rows, value(start).cast(t), plain)
+        if not n:
+            return Val(got, t, None, errors)
+        got = got if s.stage is None else s.stage(Val(got, t)).col
+        bad = F.when(got.isNull(), F.aggregate(rows, state(value(start), F.lit(False)), go)["bad"])
+        return Val(got, t, None, (*errors, error(bad, "operand is not valid in reduce or fold")))
     out = F.aggregate(rows, state(value(start), F.lit(False)), go)
-    return Val(out["a"], t, None, (*errors, error(out["bad"], "operand is not valid in reduce or fold")) if n else errors)
+    if s.stage is not None:
+        out = s.stage(Val(out, T.StructType([T.StructField("a", t), T.StructField("bad", BOOL)]))).col
+    return Val(out["a"], t, None, (*errors, error(out["bad"], "operand is not valid in reduce or fold")))
 
 
 # objects

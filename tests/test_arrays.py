@@ -42,3 +42,22 @@ def test_objects_long_orders(spark):
 @pytest.mark.parametrize(("expr", "step"), [(OBJECTS[0], "map_from_arrays("), (OBJECTS[2], "map_from_entries("), (OBJECTS[3], "array_distinct("), (OBJECTS[4], "sort_array("), (["@input.items", {"lookup_first": ["line", 2, "part"]}], "filter(")])
 def test_objects_once(spark, expr, step):
     assert planned(made(spark, [expr], [order(4, 4)])).count(step) == 1
+
+
+JOIN = [{"map": ["to_string"]}, {"reduce": [["@acc", {"concat": [",", "@item"]}]]}]
+
+
+@pytest.mark.parametrize(("first", "step"), [({"sort_by": ["@item", "desc"]}, "sort_array("), ({"filter": [["@item", {">": [2]}]]}, "filter("), ("unique", "array_distinct(")])
+def test_slices_once(spark, first, step):
+    assert planned(made(spark, [["@input.nums", first, *JOIN]], [order(4, 4)])).count(step) == 1
+
+
+def test_slices_failures(spark):
+    rows = [(1, [1, 2], [], []), (2, [1, None], [], []), (3, [], [], []), (4, [None], [], [])]
+    text = ["@input.nums", {"reduce": [["@acc", {"+": ["@item"]}]]}]
+    got = made(spark, [text], rows, "quarantine").collect()
+    bad = "ExprError: operand is not valid in reduce or fold (path: mappings[0])"
+    # with one element, or none, no step is done
+    assert [r["_error"] for r in got] == [None, bad, None, None]
+    indexed = made(spark, [["@input.nums", {"fold": [0, ["@acc", {"+": ["@item.index"]}]]}], ["@input.nums", {"map": ["@item.index"]}]], [(1, [5, 5, 5], [], [])]).collect()
+    assert list(indexed[0]) == [3.0, [0, 1, 2]]
