@@ -598,10 +598,10 @@ def compile_arrays(e: Call, s: Scope, x: Val) -> Val:
     if op == "unzip":
         if not isinstance(element, T.ArrayType):
             raise NotTyped("unzip of rows that are not arrays")
-        width = F.size(F.get(arr.col, F.lit(0)))
-        bad = F.exists(arr.col, lambda r: r.isNull() | (F.size(r) != width))
-        cols = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.transform(arr.col, lambda r: F.get(r, i)))
-        return Val(F.when((F.size(arr.col) > 0) & (width > 0), cols).otherwise(F.slice(cols, 1, 0)), T.ArrayType(element), None, (*errors, error(bad, "unzip rows must be arrays of one length")))
+        wide = lambda a: F.size(F.get(a, F.lit(0)))
+        bad = X.let(wide(arr.col), lambda width: F.exists(arr.col, lambda r: r.isNull() | (F.size(r) != width)))
+        cols = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(wide(a) - 1, F.lit(0))), lambda i: F.transform(a, lambda r: F.get(r, i)))
+        return Val(X.let(arr.col, lambda a: F.when((F.size(a) > 0) & (wide(a) > 0), cols(a)).otherwise(F.slice(cols(a), 1, 0))), T.ArrayType(element), None, (*errors, error(bad, "unzip rows must be arrays of one length")))
     if op == "flatten":
         depth = int_arg(args[0]) if args else 1
         out = arr
@@ -629,9 +629,10 @@ def compile_arrays(e: Call, s: Scope, x: Val) -> Val:
     if op in ("index_of", "contains"):
         want = args[0] if isinstance(args[0].type, T.NullType) else Val(text_of(args[0], 1), STRING, args[0].missing)
         needle = value(want).cast("string")
-        flags = F.transform(arr.col, lambda y: text_of(Val(y, element), 1).eqNullSafe(needle))
+        same = lambda y, n: text_of(Val(y, element), 1).eqNullSafe(n)
         if op == "contains":
-            return Val(F.exists(flags, lambda b: b), BOOL, None, errors)
+            return Val(X.let(needle, lambda n: F.exists(arr.col, lambda y: same(y, n))), BOOL, None, errors)
+        flags = X.let(needle, lambda n: F.transform(arr.col, lambda y: same(y, n)))
         return Val(F.coalesce(F.array_position(flags, F.lit(True)), F.lit(0)).cast("bigint") - 1, LONG, None, errors)
     raise NotTyped(op)
 
@@ -641,8 +642,13 @@ def zipped(arrs: list[Val]) -> Val:
     t = common([a.type.elementType for a in arrs])
     cols = [a.col.cast(T.ArrayType(t)) for a in arrs]
     n = F.least(*[F.size(c) for c in cols]) if len(cols) > 1 else F.size(cols[0])
-    rows = F.transform(F.slice(cols[0], 1, n), lambda x, i: F.array(x, *[F.get(c, i) for c in cols[1:]]))
-    return Val(rows, T.ArrayType(T.ArrayType(t)))
+
+    def rows(others: tuple[Column, ...]) -> Column:
+        if len(others) < len(cols) - 1:
+            return X.let(cols[len(others) + 1], lambda c: rows((*others, c)))
+        return F.transform(F.slice(cols[0], 1, n), lambda x, i: F.array(x, *[F.get(c, i) for c in others]))
+
+    return Val(rows(()), T.ArrayType(T.ArrayType(t)))
 
 
 def null_where_bad(body: Any) -> bool:

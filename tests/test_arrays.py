@@ -61,3 +61,21 @@ def test_slices_failures(spark):
     assert [r["_error"] for r in got] == [None, bad, None, None]
     indexed = made(spark, [["@input.nums", {"fold": [0, ["@acc", {"+": ["@item.index"]}]]}], ["@input.nums", {"map": ["@item.index"]}]], [(1, [5, 5, 5], [], [])]).collect()
     assert list(indexed[0]) == [3.0, [0, 1, 2]]
+
+
+AGGREGATES = [
+    ["@input.nums", {"chunk": [2]}, "flatten", "sum"],
+    ["@input.nums", {"zip_with": [["@input.qtys", {"map": [{"+": [1]}]}], ["@item.value[0]", {"*": ["@item.value[1]"]}]]}, "sum"],
+    ["@input.nums", {"zip": ["@input.nums"]}, "unzip", {"map": ["len"]}],
+]
+
+
+def test_aggregates_long_orders(spark):
+    n = 5000
+    got = made(spark, AGGREGATES, [order(n, n)]).collect()[0]
+    assert list(got) == [n * (n - 1) // 2, sum(i * (i + 1.0) for i in range(n)), [n, n]]
+
+
+def test_aggregates_once(spark):
+    # both branches of a chunk name it: with and without elements
+    assert planned(made(spark, AGGREGATES[:1], [order(4, 4)])).count("sequence(") == 2
