@@ -268,7 +268,7 @@ def compile_expr(e: Any, s: Scope) -> Val:
 
 def staged(v: Val, s: Scope) -> Val:
     """What the next step and its errors read again and again, computed once."""
-    return v if s.stage is None or not isinstance(v.type, (T.ArrayType, T.MapType)) else s.stage(v)
+    return s.stage(v) if s.stage is not None and (isinstance(v.type, (T.ArrayType, T.MapType)) or "lambda" in repr(v.col)) else v
 
 
 def compile_steps(steps: tuple, s: Scope) -> Val:
@@ -520,7 +520,7 @@ def str_arg(v: Val) -> str:
 def numbers(v: Val) -> tuple[Val, Column, tuple[Error, ...]]:
     arr = elements(v)
     one = lambda x: as_number(Val(x, arr.type.elementType))
-    return arr, F.transform(arr.col, one), (*v.errors, error(F.exists(arr.col, lambda x: one(x).isNull()), "operand must be a number or numeric string"))
+    return arr, arr.col if arr.type.elementType == DOUBLE else F.transform(arr.col, one), (*v.errors, error(F.exists(arr.col, lambda x: one(x).isNull()), "operand must be a number or numeric string"))
 
 
 def whole(c: Column, source: T.DataType) -> tuple[Column, T.DataType]:
